@@ -19,14 +19,14 @@ def popcount(mask: Column) -> Column:
 
 def bit_mask(bit: Column) -> Column:
     """One server's mask; a server without a bit contributes nothing."""
-    return F.coalesce(F.shiftleft(F.lit(1).cast("bigint"), bit), F.lit(0).cast("bigint"))
+    return F.coalesce(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit), F.lit(0).cast("bigint"))
 
 
 def mask_bits(mask: Column, width: int = 63) -> Column:
     """Positions of the set bits, ascending."""
     positions = F.sequence(F.lit(0), F.lit(width - 1))
     one = F.lit(1).cast("bigint")
-    return F.filter(positions, lambda b: F.shiftrightunsigned(mask, b).bitwiseAND(one) == 1)
+    return F.filter(positions, lambda b: F.call_function("shiftrightunsigned", mask, b).bitwiseAND(one) == 1)
 
 
 def minute_of(seconds: Column) -> Column:
