@@ -87,11 +87,11 @@ def event_tags(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def polls(spark: SparkSession, sf: str) -> DataFrame:
+def polls_of(rows: DataFrame) -> DataFrame:
     """One poll per event, with a status made from the event type."""
     k, e = F.col("k"), F.col("event_type")
     status = F.when(e == "error", 503).when(e == "signup", 429).when((e == "click") & (k < 30), 422).otherwise(200)
-    return events(spark, sf).select(
+    return rows.select(
         F.concat(F.lit("h"), (k % 9).cast("string"), F.lit(".example")).alias("host"), F.col("created_at").alias("at"),
         F.col("event_id").alias("seq"), status.alias("status"), (status == 200).alias("ok"),
         F.col("value").alias("latency_ms"), (300 - 3 * k).alias("remaining"),
@@ -102,6 +102,10 @@ def polls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def polls(spark: SparkSession, sf: str) -> DataFrame:
+    return polls_of(events(spark, sf))
+
+
 def registry(spark: SparkSession, sf: str) -> DataFrame:
     s = F.regexp_extract("host", r"^h(\d+)", 1).cast("int")
     good = (F.col("status") == 200) & (F.col("at") < NOW)

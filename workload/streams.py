@@ -1 +1,94 @@
-"""Checks."""
+"""Checks of the streaming forms, fed from the event table as a file stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagtide.functions import text as X
+from tagtide.operators import ingest
+from tagtide.session import fresh_folder
+from tagtide.streaming import jobs
+from workload import bindings as B
+from workload.catalog import check
+from workload.sql import EV, NOW, OBS, POLLS, TAG, q
+from workload.operations import _FOLD
+
+_ACTIVE = OBS.replace("JOIN tag t ON t.name = v.name", "JOIN active t ON t.name = v.name")
+_MARK = "wm AS (SELECT max(created_at) - 25 * 3600 AS t FROM ev WHERE NOT (event_id % 11 = 0))"
+
+
+def event_stream(spark, sf):
+    """The event table as a stream of one file."""
+    schema = B.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def sighting_stream(spark, sf):
+    views = B.event_views_of(B.event_rows(event_stream(spark, sf)))
+    return jobs.credit_stream(views, B.event_tags(spark, sf), B.registry(spark, sf))
+
+
+@check("stream_observations", q(_ACTIVE, """
+SELECT tag_id, uri, created_at, observed_at, is_boost, seen_mask FROM obs"""))
+def _(spark, sf):
+    rows = jobs.run_to_table(jobs.stream_observations(sighting_stream(spark, sf)), "update", "observations")
+    return rows.select("tag_id", "uri", "created_at", "observed_at", "is_boost", "seen_mask")
+
+
+@check("stream_minute_counts", q(_ACTIVE, _MARK, """
+SELECT tag_id, created_at // 60 AS minute, count(*) AS posts FROM orig
+WHERE (created_at // 60 + 1) * 60 <= (SELECT t FROM wm) GROUP BY 1, 2"""))
+def _(spark, sf):
+    return jobs.run_to_table(jobs.stream_minute_counts(sighting_stream(spark, sf)), "append", "minutes")
+
+
+@check("stream_exact_authors", q(_ACTIVE, _MARK, """
+SELECT tag_id, created_at // 3600 * 3600 AS "start", created_at // 3600 * 3600 + 3600 AS "end", count(DISTINCT author_hex) AS authors
+FROM orig WHERE created_at // 3600 * 3600 + 3600 <= (SELECT t FROM wm) GROUP BY ALL"""))
+def _(spark, sf):
+    return jobs.run_to_table(jobs.stream_exact_authors(sighting_stream(spark, sf)), "append", "authors")
+
+
+def collected(spark, sf):
+    """The collection job over the event stream; returns its folder."""
+    root = fresh_folder(spark, "collection")
+    views = B.event_views_of(B.event_rows(event_stream(spark, sf))).withColumn(
+        "skip_reason", F.when(F.col("seq") % 17 == 1, "non_public"))
+    query = jobs.start_collection(views, f"{root}/tables", f"{root}/state", B.event_tags(spark, sf), B.registry(spark, sf), B.SALT)
+    query.awaitTermination()
+    return f"{root}/tables"
+
+
+@check("stream_collection", q(_ACTIVE, """
+SELECT tag_id, uri, created_at, observed_at, seen_mask FROM obs WHERE CAST(regexp_extract(uri, '([0-9]+)$', 1) AS BIGINT) % 17 <> 1"""))
+def _(spark, sf):
+    rows = jobs.current_observations(spark, collected(spark, sf))
+    return rows.select("tag_id", "uri", "created_at", "observed_at", "seen_mask")
+
+
+@check("stream_candidate_pool", q(EV, TAG, """
+s AS (SELECT name, author_hex, count(*) AS occ FROM (SELECT *, unnest(tags) AS name FROM eview WHERE seq % 17 <> 1)
+      WHERE name NOT IN (SELECT name FROM active) GROUP BY 1, 2),
+t AS (SELECT name, sum(occ) AS n FROM s GROUP BY 1)""", """
+SELECT name, author_hex, 1 AS posts_seen FROM s JOIN t USING (name) QUALIFY row_number() OVER (ORDER BY n DESC, name, author_hex) <= 60"""))
+def _(spark, sf):
+    rows = jobs.current_candidates(spark, collected(spark, sf))
+    return rows.select("name", X.hash_hex(F.col("author_hash")).alias("author_hex"), "posts_seen")
+
+
+@check("stream_rollups", q(_ACTIVE, """
+SELECT tag_id, created_at // 60 AS minute, count(*) AS posts, 9 AS instances_reporting FROM orig
+WHERE CAST(regexp_extract(uri, '([0-9]+)$', 1) AS BIGINT) % 17 <> 1 GROUP BY 1, 2"""))
+def _(spark, sf):
+    return jobs.refresh_rollups(spark, collected(spark, sf), 9)
+
+
+@check("stream_health", q(EV, POLLS, _FOLD, """
+SELECT r.host, f.consecutive_failures, f.backoff_until, coalesce(f.last_ok_at, r.last_ok_at) AS last_ok_at,
+  coalesce(f.capability, r.capability) AS capability FROM registry r JOIN folded f USING (host)"""))
+def _(spark, sf):
+    root = fresh_folder(spark, "health")
+    polls = B.polls_of(B.event_rows(event_stream(spark, sf)))
+    jobs.start_health(polls, f"{root}/tables", f"{root}/state", B.registry(spark, sf)).awaitTermination()
+    return jobs.latest_health(spark, f"{root}/tables").select(
+        "host", "consecutive_failures", "backoff_until", "last_ok_at", "capability")
