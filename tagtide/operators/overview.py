@@ -77,6 +77,28 @@ def tracked_for_retirement(observed: DataFrame, tags: DataFrame, now: int) -> Da
     return zero_filled(active_tags(tags).select("id", "name", "last_query_at", "first_seen_at"), counts)
 
 
+def tracked_activity(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
+    """Everything the retirement rules ask, from one reading of the day.
+
+    ``posts_any_24h`` includes boosts, the other figures are of originals.
+    """
+    rows = between(observed, now - C.DAY)
+    original = ~F.col("is_boost")
+    authors = (
+        rows.groupBy("tag_id", "author_hash").agg(F.count("*").alias("_any"), F.count_if(original).alias("_own"))
+        .groupBy("tag_id").agg(
+            F.sum("_any").alias("posts_any_24h"), F.sum("_own").alias("posts_24h"),
+            F.count_if(F.col("_own") > 0).alias("authors_24h"),
+        )
+    )
+    origins = (
+        rows.filter(original).select("tag_id", "origin_host").distinct()
+        .groupBy("tag_id").agg(F.count("*").alias("origin_servers_24h"))
+    )
+    kept = active_tags(tags).select("id", "name", "last_query_at", "first_seen_at")
+    return zero_filled(kept, authors.join(origins, "tag_id", "left"))
+
+
 def posts_per_hour(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
     """Originals of the last hour for every unblocked tag, polled or not."""
     counts = originals(observed, now - C.HOUR).groupBy("tag_id").agg(F.count("*").alias("posts_per_hour"))

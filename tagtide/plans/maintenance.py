@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagtide import constants as C
 from tagtide.operators import health, ingest, merges, overview as O, policy, pool as P
+from tagtide.session import shared_folder
 
 
 def discovery_decisions(
@@ -14,11 +15,15 @@ def discovery_decisions(
     """Every promotion and retirement of one pass as (action, reason, id, name, place).
 
     Retirements come first, so the slots they free are open to promotion.
+
+    The per-tag figures and each step's short decision list are checkpointed:
+    every later step reads them, and none should read the posts again.
     """
-    tracked = O.tracked_for_retirement(observed, tags, now)
-    breadth = O.tracked_breadth(observed, tags, now)
+    shared_folder(tags.sparkSession)
+    figures = O.tracked_activity(observed, tags, now).checkpoint()
+    tracked = figures.withColumn("posts_24h", F.col("posts_any_24h"))
     quiet = policy.select_quiet_retirements(tracked, now).select("id", "name")
-    narrow = policy.select_non_community_retirements(breadth, now).select("id", "name").join(
+    narrow = policy.select_non_community_retirements(figures, now).select("id", "name").join(
         quiet.select("id"), "id", "left_anti"
     )
     dropped = quiet.select("id").unionByName(narrow.select("id"))
@@ -32,17 +37,17 @@ def discovery_decisions(
 
     retiring = retired(quiet, "quiet").unionByName(retired(narrow, "not_community")).unionByName(
         retired(excess, "over_ceiling")
-    )
+    ).checkpoint()
     after = merges.retire_tags(tags, retiring.select("id"), now)
     wanted = policy.queried_untracked(after, now - C.WEEK)
-    candidates = P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR)
+    candidates = P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR).checkpoint()
     promoted = policy.select_promotions_with_queried(
         wanted, candidates, policy.count_tracked(after).scalar(), max_tracked
     )
     return retiring.unionByName(promoted.select(
         F.lit("promote").alias("action"), F.col("source").alias("reason"), F.lit(None).cast("bigint").alias("id"),
         "name", F.col("rank").cast("int").alias("place"),
-    ))
+    )).checkpoint()
 
 
 def apply_discovery(tags: DataFrame, decisions: DataFrame, now: int) -> DataFrame:
