@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagtide.session import shared_folder
+from tagtide.session import settled
 
 # Above this cut Spark no longer trims window groups before the shuffle.
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -51,15 +51,12 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
     partition plus the sizes of the partitions before, which are only as many
     rows as there are partitions.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = settled(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())
-        .checkpoint()
     )
     sizes = laid.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagtide import constants as C
 from tagtide.functions import ratings as R
@@ -13,43 +13,68 @@ from tagtide.operators.ranking import top_rows_per_group
 def clean_candidates(requests: DataFrame, limit: int = C.MAX_REQUEST_TAGS) -> DataFrame:
     """(request_id, tags text) to at most ``limit`` usable distinct names per request.
 
-    The first spelling of a name is the one shown.
+    The first spelling of a name is the one shown. The whole text is read inside
+    its row, keeping only the names found so far, so nothing is shuffled.
     """
-    items = requests.select("request_id", F.posexplode(F.split("tags", ",")).alias("position", "raw"))
-    shown = items.withColumn("display", tag_display(F.col("raw"))).filter(F.col("display").isNotNull())
-    named = shown.withColumn("tag", casefold_tag(F.col("display")))
-    first = named.groupBy("request_id", "tag").agg(F.min(F.struct("position", "display")).alias("_f"))
-    first = first.select("request_id", "tag", "_f.position", "_f.display")
-    return top_rows_per_group(first, ["request_id"], [F.asc("position")], limit, "place").drop("position")
+    empty = F.array().cast("array<struct<tag:string,display:string>>")
 
+    def take(found, raw):
+        display = tag_display(raw)
+        tag = casefold_tag(display)
+        known = F.exists(found, lambda f: f["tag"] == tag)
+        usable = (F.size(found) < limit) & display.isNotNull() & ~known
+        return F.when(usable, F.concat(found, F.array(F.struct(tag.alias("tag"), display.alias("display"))))).otherwise(found)
 
-def candidate_standing(candidates: DataFrame, overview: DataFrame, stats: DataFrame) -> DataFrame:
-    """Evidence beside each candidate; tracked figures win over sightings."""
+    found = F.aggregate(F.split("tags", ","), empty, take)
+    rows = requests.select("request_id", F.posexplode(found).alias("place", "c"))
+    return rows.select("request_id", "c.tag", "c.display", (F.col("place") + 1).alias("place"))
+
+
+def name_evidence(
+    names: DataFrame, overview: DataFrame, stats: DataFrame, summaries: DataFrame | None = None
+) -> DataFrame:
+    """Everything known about each distinct name, tracked figures before sightings.
+
+    ``names`` has one ``tag`` column without repeats. Every side has one row per
+    name, so these joins cannot be skewed however often a name is asked for.
+    """
     tracked = overview.select(
-        F.col("name").alias("tag"), F.col("display").alias("_display"), F.lit(True).alias("_tracked"),
-        "posts_24h", "authors_24h", "origin_servers_24h", "authors_1h", "authors_prev_1h",
+        F.col("name").alias("tag"), F.col("id").alias("tag_id"), F.col("display").alias("tracked_display"),
+        "posts_24h", F.col("authors_24h").alias("_authors"), F.col("origin_servers_24h").alias("_servers"),
+        "authors_1h", "authors_prev_1h",
     )
     seen = stats.select(
-        F.col("name").alias("tag"), F.lit(True).alias("_seen"), F.col("distinct_authors").alias("sighting_authors"),
-        F.col("distinct_origin_servers").alias("_servers"), F.col("posts_per_author").alias("_per_author"),
+        F.col("name").alias("tag"), F.col("distinct_authors").alias("sighting_authors"),
+        F.col("distinct_origin_servers").alias("_seen_servers"), F.col("posts_per_author").alias("_seen_ratio"),
     )
-    is_tracked, is_seen = F.col("_tracked").isNotNull(), F.col("_seen").isNotNull()
-    standing = F.when(is_tracked, "tracked").when(is_seen, "discovered").otherwise("unseen")
-    authors = F.when(is_tracked, F.col("authors_24h")).otherwise(F.col("sighting_authors"))
-    servers = F.when(is_tracked, F.col("origin_servers_24h")).otherwise(F.col("_servers"))
-    per_author = F.when(is_tracked, R.posts_per_author(F.col("posts_24h"), F.col("authors_24h"))).otherwise(F.col("_per_author"))
-    return (
-        candidates.join(tracked, "tag", "left").join(seen, "tag", "left")
-        .select(
-            *[c for c in candidates.columns if c != "display"],
-            F.coalesce("_display", "display").alias("display"), standing.alias("standing"),
-            authors.alias("authors_24h"), "posts_24h", servers.alias("origin_servers_24h"),
-            R.authors_per_server(authors, servers).alias("authors_per_server"),
-            per_author.alias("posts_per_author"), "authors_1h",
-        )
+    is_tracked = F.col("tag_id").isNotNull()
+    standing = F.when(is_tracked, "tracked").when(F.col("sighting_authors").isNotNull(), "discovered").otherwise("unseen")
+    authors = F.when(is_tracked, F.col("_authors")).otherwise(F.col("sighting_authors"))
+    servers = F.when(is_tracked, F.col("_servers")).otherwise(F.col("_seen_servers"))
+    ratio = F.when(is_tracked, R.posts_per_author(F.col("posts_24h"), F.col("_authors"))).otherwise(F.col("_seen_ratio"))
+    rows = names.join(tracked, "tag", "left").join(seen, "tag", "left")
+    told = ["uses_7d", "accounts_7d", "source_count"]
+    if summaries is not None:
+        rows = rows.join(summaries.select("tag", *told), "tag", "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in told})
+    return rows.select(
+        "tag", "tag_id", "tracked_display", standing.alias("standing"), authors.alias("authors_24h"), "posts_24h",
+        servers.alias("origin_servers_24h"), R.authors_per_server(authors, servers).alias("authors_per_server"),
+        ratio.alias("posts_per_author"), "authors_1h", "authors_prev_1h",
+        F.when(~is_tracked, F.col("sighting_authors")).alias("sighting_authors"),
+        F.when(~is_tracked, F.col("uses_7d")).alias("reported_uses_7d"),
+        F.when(~is_tracked, F.col("accounts_7d")).alias("reported_accounts_7d"),
+        F.when(~is_tracked, F.col("source_count")).alias("reported_sources"),
     )
 
 
+def candidate_standing(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The evidence beside each candidate of each request."""
+    joined = candidates.join(evidence, "tag")
+    return joined.withColumn("display", F.coalesce("tracked_display", "display")).drop("tracked_display", "tag_id")
+
+
 def add_reading(evaluated: DataFrame) -> DataFrame:
     """Shape, spread and recency codes, and a sentence."""
     shape = R.reading_shape(
@@ -95,33 +120,28 @@ def summarise_server_reports(days: DataFrame, keys: list[str] | None = None) ->
     )
 
 
-def attach_server_reports(evaluated: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Adds the servers' own figures to candidates the index has not seen."""
-    s = summaries.select(
-        "tag", F.lit("unseen").alias("standing"), F.col("uses_7d").alias("reported_uses_7d"),
-        F.col("accounts_7d").alias("reported_accounts_7d"), F.col("source_count").alias("reported_sources"),
-    )
-    joined = evaluated.join(s, ["tag", "standing"], "left")
-    shape = (
-        F.when(F.col("reported_sources").isNull(), F.col("shape"))
-        .when(F.col("reported_accounts_7d") == 0, "reported_unused")
-        .otherwise("reported_in_use")
-    )
+def add_server_reports(evaluated: DataFrame) -> DataFrame:
+    """Replaces the reading of unseen candidates by what servers say themselves."""
+    told = (F.col("standing") == "unseen") & F.col("reported_sources").isNotNull()
+    unused = told & (F.col("reported_accounts_7d") == 0)
+    shape = F.when(unused, "reported_unused").when(told, "reported_in_use").otherwise(F.col("shape"))
     text = (
-        F.when(F.col("reported_sources").isNull(), F.col("reading"))
-        .when(F.col("reported_accounts_7d") == 0,
-              F.format_string("Not observed; %d servers asked report no use this week.", "reported_sources"))
-        .otherwise(F.format_string("Not observed; %d servers asked report %d accounts this week (their own count).",
-                                   "reported_sources", "reported_accounts_7d"))
+        F.when(unused, F.format_string("Not observed; %d servers asked report no use this week.", "reported_sources"))
+        .when(told, F.format_string("Not observed; %d servers asked report %d accounts this week (their own count).",
+                                    "reported_sources", "reported_accounts_7d"))
+        .otherwise(F.col("reading"))
     )
-    return joined.withColumns({"shape": shape, "reading": text})
+    only_unseen = {c: F.when(told, F.col(c)) for c in ("reported_uses_7d", "reported_accounts_7d", "reported_sources")}
+    return evaluated.withColumns({"reading": text, "shape": shape}).withColumns(only_unseen)
 
 
 def mixed_standings(evaluated: DataFrame) -> DataFrame:
-    """Per request: whether the tags' figures come from different kinds of evidence."""
-    return evaluated.groupBy("request_id").agg(F.countDistinct("standing").alias("standings")).withColumn(
-        "comparable", F.col("standings") <= 1
-    )
+    """Adds whether a request's figures come from one kind of evidence and so may be compared.
+
+    A request holds a handful of names at most, so the window is tiny.
+    """
+    kinds = F.size(F.collect_set("standing").over(Window.partitionBy("request_id")))
+    return evaluated.withColumn("comparable", kinds <= 1)
 
 
 def claim_verdict(

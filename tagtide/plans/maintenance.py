@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagtide import constants as C
 from tagtide.operators import health, ingest, merges, overview as O, policy, pool as P
-from tagtide.session import shared_folder
+from tagtide.session import settled
 
 
 def discovery_decisions(
@@ -19,8 +19,7 @@ def discovery_decisions(
     The per-tag figures and each step's short decision list are checkpointed:
     every later step reads them, and none should read the posts again.
     """
-    shared_folder(tags.sparkSession)
-    figures = O.tracked_activity(observed, tags, now).checkpoint()
+    figures = settled(O.tracked_activity(observed, tags, now))
     tracked = figures.withColumn("posts_24h", F.col("posts_any_24h"))
     quiet = policy.select_quiet_retirements(tracked, now).select("id", "name")
     narrow = policy.select_non_community_retirements(figures, now).select("id", "name").join(
@@ -35,19 +34,19 @@ def discovery_decisions(
             F.lit("retire").alias("action"), F.lit(reason).alias("reason"), "id", "name", F.lit(None).cast("int").alias("place")
         )
 
-    retiring = retired(quiet, "quiet").unionByName(retired(narrow, "not_community")).unionByName(
+    retiring = settled(retired(quiet, "quiet").unionByName(retired(narrow, "not_community")).unionByName(
         retired(excess, "over_ceiling")
-    ).checkpoint()
+    ))
     after = merges.retire_tags(tags, retiring.select("id"), now)
     wanted = policy.queried_untracked(after, now - C.WEEK)
-    candidates = P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR).checkpoint()
+    candidates = settled(P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR))
     promoted = policy.select_promotions_with_queried(
         wanted, candidates, policy.count_tracked(after).scalar(), max_tracked
     )
-    return retiring.unionByName(promoted.select(
+    return settled(retiring.unionByName(promoted.select(
         F.lit("promote").alias("action"), F.col("source").alias("reason"), F.lit(None).cast("bigint").alias("id"),
         "name", F.col("rank").cast("int").alias("place"),
-    )).checkpoint()
+    )))
 
 
 def apply_discovery(tags: DataFrame, decisions: DataFrame, now: int) -> DataFrame:

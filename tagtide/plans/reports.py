@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtide import constants as C
 from tagtide.functions import ratings as R
-from tagtide.functions.numbers import popcount, round_up_half
+from tagtide.functions.numbers import round_up_half
 from tagtide.functions.servers import is_collectable, is_monitored, server_state
 from tagtide.operators import health, overview as O, policy, pool as P, trust, windows as W
+from tagtide.session import settled
 
 
 def monitored_count(registry: DataFrame) -> Column:
@@ -103,6 +104,7 @@ def lookup_report(report: DataFrame, window: str = "24h") -> DataFrame:
 
 def tracked_listing(overview: DataFrame, order: str = "authors", limit: int | None = None) -> DataFrame:
     """Tracked tags in the chosen order with the crowding ratio and each one's share of the peak."""
+    overview = settled(overview)
     peak = overview.agg(F.greatest(F.lit(1), F.max("authors_24h"))).scalar()
     ranked = policy.rank_tags(overview, order, limit)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("authors_24h") / peak))
@@ -155,6 +157,16 @@ def trending_report(
     )
 
 
+def asked_evidence(
+    asked: DataFrame, observed: DataFrame, tags: DataFrame, pool: DataFrame, reports: DataFrame, now: int
+) -> DataFrame:
+    """Evidence on every distinct name of a ``tag`` column, however often it is asked for."""
+    names = asked.select("tag").distinct()
+    stats = P.candidate_stats(pool, names.select(F.col("tag").alias("name")), now - C.POOL_HOURS * C.HOUR)
+    told = trust.summarise_server_reports(reports.join(names, "tag", "left_semi"))
+    return trust.name_evidence(names, O.tag_overview(observed, tags, now), stats, told)
+
+
 def evaluate_report(
     requests: DataFrame, observed: DataFrame, tags: DataFrame, pool: DataFrame, reports: DataFrame, now: int,
     limit: int = C.MAX_REQUEST_TAGS,
@@ -165,10 +177,8 @@ def evaluate_report(
     the servers' daily counters (tag, host, day, uses, accounts).
     """
     candidates = trust.clean_candidates(requests, limit)
-    stats = P.candidate_stats(pool, candidates.select(F.col("tag").alias("name")), now - C.POOL_HOURS * C.HOUR)
-    evaluated = trust.candidate_standing(candidates, O.tag_overview(observed, tags, now), stats)
-    asked = reports.join(candidates.select("tag").distinct(), "tag", "left_semi")
-    read = trust.attach_server_reports(trust.add_reading(evaluated), trust.summarise_server_reports(asked))
+    evidence = asked_evidence(candidates.select("tag"), observed, tags, pool, reports, now)
+    read = trust.add_server_reports(trust.add_reading(trust.candidate_standing(candidates, evidence)))
     return trust.rank_candidates(read.drop("place"), limit)
 
 
@@ -182,8 +192,7 @@ def compare_report(
     )
     evaluated = evaluate_report(four, observed, tags, pool, reports, now, C.MAX_COMPARED_TAGS)
     hourly = O.hourly_by_age(rollups, O.active_tags(tags), now).select(F.col("name").alias("tag"), "hourly")
-    mixed = trust.mixed_standings(evaluated)
-    return evaluated.join(hourly, "tag", "left").join(mixed, "request_id")
+    return trust.mixed_standings(evaluated).join(hourly, "tag", "left")
 
 
 def check_claims(
@@ -195,38 +204,23 @@ def check_claims(
     ``tag`` is a cleaned name. Unknown claims are left out; any scope but the
     network-wide one means this index.
     """
-    overview = O.tag_overview(observed, tags, now)
-    median = W.weighted_median_popcount(W.mask_distribution(observed, now - C.DAY, now))
-    monitored = monitored_count(registry)
-    tracked = overview.join(median.withColumnRenamed("tag_id", "id"), "id", "left").select(
-        F.col("name").alias("tag"), F.col("display").alias("_display"), F.lit(True).alias("_tracked"),
-        "posts_24h", "authors_24h", "origin_servers_24h", "authors_1h", "authors_prev_1h",
-        R.coverage_quality(F.col("median_instances_per_post"), monitored).alias("coverage"),
-    )
     asked = claims.filter(F.col("claim").isin(*C.CLAIMS)).withColumn(
         "scope", F.when(F.col("scope") == C.NETWORK_SCOPE, C.NETWORK_SCOPE).otherwise(C.INDEX_SCOPE)
     )
-    names = asked.select("tag").distinct()
-    stats = P.candidate_stats(pool, names.select(F.col("tag").alias("name")), now - C.POOL_HOURS * C.HOUR).select(
-        F.col("name").alias("tag"), F.lit(True).alias("_seen"), F.col("distinct_authors").alias("_sightings")
-    )
-    told = trust.summarise_server_reports(reports.join(names, "tag", "left_semi")).select(
-        "tag", F.col("accounts_7d").alias("_reported"), F.col("source_count").alias("_sources")
-    )
-    is_tracked = F.col("_tracked").isNotNull()
-    comparable = hours_comparable(registry, polls, now)
-    rows = (
-        asked.join(tracked, "tag", "left").join(stats, "tag", "left").join(told, "tag", "left")
-        .withColumns({
-            "display": F.coalesce("_display", "tag"),
-            "standing": F.when(is_tracked, "tracked").when(F.col("_seen").isNotNull(), "discovered").otherwise("unseen"),
-            "sighting_authors": F.when(~is_tracked | F.col("_tracked").isNull(), F.col("_sightings")),
-            "reported_accounts_7d": F.when(F.col("_tracked").isNull(), F.col("_reported")),
-            "reported_sources": F.when(F.col("_tracked").isNull(), F.coalesce("_sources", F.lit(0))).otherwise(F.lit(0)),
-            "hours_comparable": comparable,
-            "instances_monitored": monitored,
-        })
-    )
+    evidence = asked_evidence(asked, observed, tags, pool, reports, now)
+    monitored = monitored_count(registry)
+    median = W.weighted_median_popcount(W.mask_distribution(observed, now - C.DAY, now))
+    grade = R.coverage_quality(F.col("median_instances_per_post"), monitored)
+    graded = evidence.join(median, "tag_id", "left").withColumn("coverage", F.when(F.col("tag_id").isNotNull(), grade))
+    sighted = F.col("tag_id").isNull()
+    rows = asked.join(graded, "tag").withColumns({
+        "display": F.coalesce("tracked_display", "tag"),
+        "authors_24h": F.when(~sighted, F.col("authors_24h")),
+        "origin_servers_24h": F.when(~sighted, F.col("origin_servers_24h")),
+        "reported_sources": F.coalesce("reported_sources", F.lit(0)),
+        "hours_comparable": hours_comparable(registry, polls, now),
+        "instances_monitored": monitored,
+    })
     verdict = trust.claim_verdict(
         F.col("claim"), F.col("scope"), F.col("standing"), F.col("authors_24h"), F.col("authors_1h"),
         F.col("authors_prev_1h"), F.col("hours_comparable"), F.col("coverage"), F.col("sighting_authors"),
@@ -324,7 +318,7 @@ def peak_normalised(series: Column) -> Column:
 
 def explore_report(observed: DataFrame, rollups: DataFrame, tags: DataFrame, now: int) -> DataFrame:
     """Every tracked tag in strip order with its hourly shape and, if active, its place on the map."""
-    overview = O.tag_overview(observed, tags, now)
+    overview = settled(O.tag_overview(observed, tags, now))
     hourly = O.hourly_posts(rollups, O.active_tags(tags), now).select("id", "hourly")
     features = shape_features(overview).select(
         "id", "authors_per_server", "authors_share", "concentration_share", "volume_share", "above_threshold"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tagtide", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small per-tag result that several branches of a plan read, computed once.
+
+    It is checkpointed in the shared folder, so it outlives a lost executor and
+    none of its readers goes back to the posts.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -465,10 +465,15 @@ excess AS (SELECT id, name FROM (SELECT *, row_number() OVER (ORDER BY posts_24h
   WHERE rn <= (SELECT count(*) FROM remaining) - {{max}})"""
 
 
-@check("select_quiet_retirements", q(OBS, _RETIRE, _QUIET, "SELECT id, name FROM quiet"))
+LATER = NOW + 3 * 86400
+
+
+@check("select_quiet_retirements", q(OBS, (_RETIRE + ", " + _QUIET.strip()).replace(str(DAY_AGO), str(LATER - 86400)).replace(
+    f"{NOW} -", f"{LATER} -"), "SELECT id, name FROM quiet"))
 def _(spark, sf):
-    tracked = O.tracked_for_retirement(B.observed(spark, sf), B.event_tags(spark, sf), NOW)
-    return policy.select_quiet_retirements(tracked, NOW).select("id", "name")
+    """Judged three days on, when nothing new has come in."""
+    tracked = O.tracked_for_retirement(B.observed(spark, sf), B.event_tags(spark, sf), LATER)
+    return policy.select_quiet_retirements(tracked, LATER).select("id", "name")
 
 
 @check("select_non_community_retirements", q(OBS, OVERVIEW, _NARROW.replace(">= 20", ">= 3").replace("> 5", "> 1"),

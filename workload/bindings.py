@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tagtide.functions.numbers import bit_mask
 from tagtide.functions.text import author_hash
 from tagtide.operators import ingest
 
@@ -53,11 +54,11 @@ def event_posts_of(rows: DataFrame) -> DataFrame:
 
 
 def event_views_of(rows: DataFrame) -> DataFrame:
-    """Posts as each reporting server showed them."""
+    """Posts as each reporting server showed them, with that server's mask."""
     views = event_posts_of(rows).withColumn("s", F.explode("servers"))
     return views.withColumn("host", F.concat(F.lit("h"), F.col("s").cast("string"), F.lit(".example"))).withColumn(
         "observed_at", F.col("created_at") + 5 + F.col("s") * 7 + F.col("seq") % 50
-    ).drop("servers", "s")
+    ).withColumn("mask", bit_mask(F.col("s"))).drop("servers", "s")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +132,7 @@ def credited(views: DataFrame, tags: DataFrame) -> DataFrame:
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     rows = credited(event_views(spark, sf), event_tags(spark, sf))
-    return ingest.merge_sightings(ingest.attach_mask(rows, registry(spark, sf)))
+    return ingest.merge_sightings(rows)
 
 
 def rollups(spark: SparkSession, sf: str) -> DataFrame:

@@ -200,7 +200,7 @@ LEFT JOIN monitored r ON r.host = v.host"""))
 def _(spark, sf):
     from tagtide.functions.servers import is_monitored
 
-    rows = ingest.attach_mask(B.event_views(spark, sf), B.registry(spark, sf).filter(is_monitored()))
+    rows = ingest.attach_mask(B.event_views(spark, sf).drop("mask"), B.registry(spark, sf).filter(is_monitored()))
     return rows.select("uri", "host", "mask")
 
 
@@ -241,7 +241,7 @@ def _(spark, sf):
 
 def split_by_server(spark, sf):
     """Observations from the even servers, then those from the odd ones."""
-    rows = ingest.attach_mask(B.credited(B.event_views(spark, sf), B.event_tags(spark, sf)), B.registry(spark, sf))
+    rows = B.credited(B.event_views(spark, sf), B.event_tags(spark, sf))
     even = F.regexp_extract("host", r"^h(\d+)", 1).cast("int") % 2 == 0
     return ingest.merge_sightings(rows.filter(even)), ingest.merge_sightings(rows.filter(~even))
 

@@ -80,7 +80,8 @@ def _(spark, sf):
     names = B.word_rows(spark, sf).select("name").union(B.event_tags(spark, sf).select("name")).distinct()
     asked = names.select(F.col("name").alias("tag"), F.col("name").alias("display"))
     stats = P.candidate_stats(B.pool(spark, sf), names, NOW - 172800)
-    return trust.candidate_standing(asked, overview(spark, sf), stats).select("tag", "standing", "authors_24h")
+    evidence = trust.name_evidence(asked.select("tag"), overview(spark, sf), stats)
+    return trust.candidate_standing(asked, evidence).select("tag", "standing", "authors_24h")
 
 
 @check("compare_report", q(OBS, POOL, COUNTERS, _SUMMARY, CANDIDATES, OVERVIEW, ROLLUP,

@@ -24,7 +24,7 @@ def event_stream(spark, sf):
 
 
 def sighting_stream(spark, sf):
-    views = B.event_views_of(B.event_rows(event_stream(spark, sf)))
+    views = B.event_views_of(B.event_rows(event_stream(spark, sf))).drop("mask")
     return jobs.credit_stream(views, B.event_tags(spark, sf), B.registry(spark, sf))
 
 
@@ -52,7 +52,7 @@ def _(spark, sf):
 def collected(spark, sf):
     """The collection job over the event stream; returns its folder."""
     root = fresh_folder(spark, "collection")
-    views = B.event_views_of(B.event_rows(event_stream(spark, sf))).withColumn(
+    views = B.event_views_of(B.event_rows(event_stream(spark, sf))).drop("mask").withColumn(
         "skip_reason", F.when(F.col("seq") % 17 == 1, "non_public"))
     query = jobs.start_collection(views, f"{root}/tables", f"{root}/state", B.event_tags(spark, sf), B.registry(spark, sf), B.SALT)
     query.awaitTermination()
