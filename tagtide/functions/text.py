@@ -6,14 +6,18 @@ from pyspark.sql import Column, functions as F
 
 from tagtide.constants import MAX_TAG_LENGTH
 
-_EDGE_SPACE = r"(?U)^[\s﻿]+|[\s﻿]+\z"
-_TAG_SHAPE = r"\A[\p{L}\p{N}_]+\z"
+# The characters that count as white space at the ends of a text.
+_EDGE_SPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+_TAG_SHAPE = r"\A[\p{L}\p{N}_]{1,%d}\z" % MAX_TAG_LENGTH
 # Scheme, optional user part, host, optional port, then a path, query, fragment or the end.
 _HTTP_HOST = r"(?i)^https?:[/\\]*(?:[^/?#]*@)?([^\s/:?#@<>\[\]\\^|%]+)(?::[0-9]*)?(?:[/?#]|$)"
 
 
 def trim_edges(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_EDGE_SPACE))
 
 
 def nfkc(text: Column) -> Column:
@@ -30,16 +34,17 @@ def casefold_tag(name: Column) -> Column:
     )
 
 
-def _utf16_length(text: Column) -> Column:
-    # Characters beyond the basic plane count as two units.
-    return F.length(text) + F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
+def _fits(text: Column) -> Column:
+    # The length limit counts characters beyond the basic plane twice.
+    units = F.length(text) + F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
+    return (F.length(text) <= MAX_TAG_LENGTH // 2) | (units <= MAX_TAG_LENGTH)
 
 
 def tag_display(raw: Column) -> Column:
     """The tag as written, without edge space and one leading '#'; NULL if unusable."""
-    shown = F.regexp_replace(trim_edges(raw), r"\A#", "")
-    usable = shown.rlike(_TAG_SHAPE) & _utf16_length(shown).between(1, MAX_TAG_LENGTH)
-    return F.when(usable, shown)
+    edged = trim_edges(raw)
+    shown = F.when(F.startswith(edged, F.lit("#")), F.substr(edged, F.lit(2))).otherwise(edged)
+    return F.when(shown.rlike(_TAG_SHAPE) & _fits(shown), shown)
 
 
 def clean_tag_input(raw: Column) -> Column:

@@ -18,15 +18,23 @@ def clean_candidates(requests: DataFrame, limit: int = C.MAX_REQUEST_TAGS) -> Da
     """
     empty = F.array().cast("array<struct<tag:string,display:string>>")
 
-    def take(found, raw):
-        display = tag_display(raw)
-        tag = casefold_tag(display)
-        known = F.exists(found, lambda f: f["tag"] == tag)
-        usable = (F.size(found) < limit) & display.isNotNull() & ~known
-        return F.when(usable, F.concat(found, F.array(F.struct(tag.alias("tag"), display.alias("display"))))).otherwise(found)
+    def once(value: Column, use) -> Column:
+        # Names a value inside the lambda, so it is worked out once per word.
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def add(found: Column, display: Column, tag: Column) -> Column:
+        more = F.concat(found, F.array(F.struct(tag.alias("tag"), display.alias("display"))))
+        return F.when(F.exists(found, lambda f: f["tag"] == tag), found).otherwise(more)
+
+    def take(found: Column, raw: Column) -> Column:
+        # A full list is returned as it is, before the next word is looked at.
+        cleaned = once(tag_display(raw), lambda d: F.when(d.isNull(), found).otherwise(
+            once(casefold_tag(d), lambda t: add(found, d, t))))
+        return F.when(F.size(found) >= limit, found).otherwise(cleaned)
 
     found = F.aggregate(F.split("tags", ","), empty, take)
-    rows = requests.select("request_id", F.posexplode(found).alias("place", "c"))
+    # The outer form keeps the optimizer from reading the text again to test for an empty list.
+    rows = requests.select("request_id", F.posexplode_outer(found).alias("place", "c")).filter(F.col("c").isNotNull())
     return rows.select("request_id", "c.tag", "c.display", (F.col("place") + 1).alias("place"))
 
 

@@ -184,15 +184,18 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
 def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of every whole document, as tags seen on a post."""
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]{3,})"), F.lit(1)), F.lower))
-    docs = table(spark, sf, "documents").select("doc_id", "source", words.alias("words"))
-    return docs.select("doc_id", "source", F.size("words").alias("n_words"), F.explode("words").alias("name"))
+    d = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", words.alias("words"),
+        author_hash(F.concat(F.lit("d"), (d % 37).cast("string")), SALT).alias("author_hash"),
+    )
+    return docs.select("doc_id", "source", "author_hash", F.size("words").alias("n_words"), F.explode("words").alias("name"))
 
 
 def word_sightings(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
-    authors = author_hash(F.concat(F.lit("d"), (d % 37).cast("string")), SALT)
     return word_rows(spark, sf).select(
-        "name", authors.alias("author_hash"), F.col("source").alias("origin_host"),
+        "name", "author_hash", F.col("source").alias("origin_host"),
         F.least(F.col("n_words"), F.lit(20)).alias("tags_on_post"), (F.lit(NOW) - (d % 72) * 3600).alias("observed_at"),
         F.lit("h0.example").alias("host"), d.alias("seq"),
     )
