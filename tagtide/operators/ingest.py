@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tagtide.functions.arrays import unfold
 from tagtide.functions.numbers import bit_mask
 from tagtide.functions.text import author_hash, epoch_seconds, hash_hex, origin_host, tag_list
 
-FIRST_SEEN_ORDER = ["observed_at", "host", "seq"]
 _ATTRIBUTES = [
     "url", "origin_host", "author_hash", "created_at", "observed_at", "is_boost", "sensitive", "language",
 ]
@@ -90,7 +90,7 @@ def skip_counts(normalised: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def tag_sightings(posts: DataFrame) -> DataFrame:
     """One row per post view and tag, with how many tags the post carried."""
-    return posts.withColumn("tags_on_post", F.size("tags")).withColumn("name", F.explode("tags")).drop("tags")
+    return unfold(posts.withColumn("tags_on_post", F.size("tags")), "tags", "name").drop("tags")
 
 
 def match_tracked_tags(sightings: DataFrame, tags: DataFrame) -> DataFrame:
@@ -111,9 +111,23 @@ def attach_mask(sightings: DataFrame, registry: DataFrame) -> DataFrame:
     return sightings.join(bits, "host", "left").withColumn("mask", bit_mask(F.col("bit"))).drop("bit")
 
 
+def combine_views(posts: DataFrame) -> DataFrame:
+    """Posts whose views agree, once, with the union of their masks and the earliest sighting.
+
+    Servers rarely differ about a post, so this hash aggregation leaves about one
+    row per post before tags multiply the rows and the wide merge sorts them.
+    """
+    keys = ["uri", *[c for c in _ATTRIBUTES if c != "observed_at"], "tags"]
+    return posts.groupBy(*keys).agg(F.min("observed_at").alias("observed_at"), F.bit_or("mask").alias("mask"))
+
+
 def merge_sightings(sightings: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One observation per (tag, post): masks are OR-ed, the earliest view's attributes stay."""
-    first = F.min_by(F.struct(*_ATTRIBUTES), F.struct(*(order or FIRST_SEEN_ORDER)))
+    """One observation per (tag, post): masks are OR-ed, the earliest view's attributes stay.
+
+    Views of the same moment are told apart by ``order``, or else by their
+    attributes, so the result does not depend on the order of arrival.
+    """
+    first = F.min_by(F.struct(*_ATTRIBUTES), F.struct(*(order or ["observed_at", *_ATTRIBUTES])))
     return (
         sightings.groupBy("tag_id", "uri")
         .agg(first.alias("_first"), F.bit_or("mask").alias("seen_mask"))
@@ -122,8 +136,9 @@ def merge_sightings(sightings: DataFrame, order: list[str] | None = None) -> Dat
 
 
 def observations(posts: DataFrame, tags: DataFrame, registry: DataFrame) -> DataFrame:
-    """The write path of one batch: explode, credit tracked tags, attach bits, merge."""
-    return merge_sightings(attach_mask(match_tracked_tags(tag_sightings(posts), tags), registry))
+    """The write path of one batch: attach bits, combine equal views, credit tracked tags, merge."""
+    views = combine_views(attach_mask(posts, registry))
+    return merge_sightings(match_tracked_tags(tag_sightings(views), tags))
 
 
 def touched_minutes(observed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagtide import constants as C
+from tagtide.functions.arrays import unfold
 from tagtide.functions.numbers import mask_bits, popcount, round_up_half
 from tagtide.functions.ratings import coverage_comparable, coverage_quality, trend
 from tagtide.operators.ranking import top_rows_per_group
@@ -125,7 +126,7 @@ def reporting_masks(observed: DataFrame, start: int, end: int) -> DataFrame:
 def reporting_hosts(observed: DataFrame, registry: DataFrame, start: int, end: int) -> DataFrame:
     """The servers that actually contributed posts of each tag."""
     masks = between(observed, start, end).groupBy("tag_id").agg(F.bit_or("seen_mask").alias("mask"))
-    bits = masks.select("tag_id", F.explode(mask_bits(F.col("mask"))).alias("bit"))
+    bits = unfold(masks, mask_bits(F.col("mask")), "bit")
     return bits.join(registry.select("host", "bit"), "bit").select("tag_id", "host")
 
 
@@ -134,7 +135,7 @@ def coverage_overlap(observed: DataFrame, registry: DataFrame, start: int, end:
     masks = mask_distribution(observed, start, end)
     total = masks.groupBy("tag_id").agg(F.sum("posts").alias("unique_posts"))
     per_server = (
-        masks.select("tag_id", "posts", F.explode(mask_bits(F.col("mask"))).alias("bit"))
+        unfold(masks, mask_bits(F.col("mask")), "bit")
         .join(registry.select("bit"), "bit", "left_semi")
         .groupBy("tag_id", "bit").agg(F.sum("posts").alias("_posts"))
     )
@@ -156,7 +157,7 @@ def server_overlap(observed: DataFrame, registry: DataFrame, start: int, end: in
     pairs = F.flatten(F.transform(bits, lambda a: F.transform(
         F.filter(bits, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     shared = (
-        masks.select("posts", F.explode(pairs).alias("p"))
+        unfold(masks, pairs, "p")
         .groupBy(F.col("p.a").alias("bit_a"), F.col("p.b").alias("bit_b")).agg(F.sum("posts").alias("shared_posts"))
     )
     a = registry.select(F.col("host").alias("server_a"), F.col("bit").alias("bit_a"))

@@ -27,7 +27,9 @@ def parse_statuses(pages: DataFrame, body: str = "body") -> DataFrame:
     carried = [c for c in pages.columns if c != body]
     is_array = F.col(body).rlike(r"\A\s*\[")
     parsed = F.from_json(F.col(body), T.ArrayType(schemas.STATUS))
-    return pages.filter(is_array).select(*carried, F.posexplode(parsed).alias("pos", "status"))
+    # The outer form keeps the optimizer from parsing a page again to test it for emptiness.
+    rows = pages.filter(is_array).select(*carried, F.posexplode_outer(parsed).alias("pos", "status"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 def rejected_pages(pages: DataFrame, body: str = "body") -> DataFrame:

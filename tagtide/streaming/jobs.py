@@ -126,7 +126,7 @@ def collect_batch(
     batch.write.parquet(staged)
     posts = spark.read.parquet(staged)
     sightings = ingest.tag_sightings(ingest.kept_posts(posts))
-    merged = ingest.merge_sightings(ingest.attach_mask(ingest.match_tracked_tags(sightings, tags), registry))
+    merged = ingest.observations(ingest.kept_posts(posts), tags, registry)
     write_change(merged, root, "observation", batch_id)
     write_change(ingest.touched_minutes(merged), root, "touched_minute", batch_id)
     fresh = ingest.untracked_sightings(sightings, tags)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tagtide.functions.arrays import unfold
 from tagtide.functions.numbers import bit_mask
 from tagtide.functions.text import author_hash
 from tagtide.operators import ingest
@@ -23,6 +24,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that comes in fewer pieces than there are cores, spread by key.
+
+    A table of many files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
@@ -55,14 +65,14 @@ def event_posts_of(rows: DataFrame) -> DataFrame:
 
 def event_views_of(rows: DataFrame) -> DataFrame:
     """Posts as each reporting server showed them, with that server's mask."""
-    views = event_posts_of(rows).withColumn("s", F.explode("servers"))
+    views = unfold(event_posts_of(rows), "servers", "s")
     return views.withColumn("host", F.concat(F.lit("h"), F.col("s").cast("string"), F.lit(".example"))).withColumn(
         "observed_at", F.col("created_at") + 5 + F.col("s") * 7 + F.col("seq") % 50
     ).withColumn("mask", bit_mask(F.col("s"))).drop("servers", "s")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return event_rows(table(spark, sf, "events"))
+    return event_rows(spread(table(spark, sf, "events"), "event_id"))
 
 
 def event_views(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,8 +141,7 @@ def credited(views: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = credited(event_views(spark, sf), event_tags(spark, sf))
-    return ingest.merge_sightings(rows)
+    return ingest.merge_sightings(credited(ingest.combine_views(event_views(spark, sf)), event_tags(spark, sf)))
 
 
 def rollups(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,11 +194,11 @@ def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of every whole document, as tags seen on a post."""
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]{3,})"), F.lit(1)), F.lower))
     d = F.col("doc_id")
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select(
         "doc_id", "source", words.alias("words"),
         author_hash(F.concat(F.lit("d"), (d % 37).cast("string")), SALT).alias("author_hash"),
     )
-    return docs.select("doc_id", "source", "author_hash", F.size("words").alias("n_words"), F.explode("words").alias("name"))
+    return unfold(docs.withColumn("n_words", F.size("words")), "words", "name").drop("words")
 
 
 def word_sightings(spark: SparkSession, sf: str) -> DataFrame:

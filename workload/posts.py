@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.functions import numbers as N, text as X
+from tagtide.functions.arrays import unfold
 from tagtide.operators import ingest, merges, polling, trust
 from tagtide.sources import raw
 from workload import bindings as B
@@ -132,8 +133,8 @@ def _(spark, sf):
 SELECT DISTINCT doc_id, lower(nfc_normalize(w)) AS tag
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)""")
 def _(spark, sf):
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    rows = B.table(spark, sf, "documents").select("doc_id", word.alias("w"))
+    words = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    rows = unfold(B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), words, "w")
     return rows.select("doc_id", X.casefold_tag(F.col("w")).alias("tag")).distinct()
 
 
@@ -154,7 +155,8 @@ def requests(spark, sf):
     """One request per document: two known tags, then every word of the text."""
     text = F.concat(F.lit("#View,click_"), (F.col("doc_id") % 10).cast("string"), F.lit(","),
                     F.regexp_replace("text", r"[ \t\n\r\f]+", ","))
-    return B.table(spark, sf, "documents").select(F.col("doc_id").alias("request_id"), text.alias("tags"))
+    docs = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").alias("request_id"), text.alias("tags"))
 
 
 REQUESTS = r"""
