@@ -49,6 +49,15 @@ def _(spark, sf):
     return jobs.run_to_table(jobs.stream_exact_authors(sighting_stream(spark, sf)), "append", "authors")
 
 
+@check("stream_sliding_authors", q(_ACTIVE, _MARK, """
+hop AS (SELECT *, created_at // 3600 * 3600 - 3600 * unnest([0, 1]) AS "start" FROM orig)""", """
+SELECT tag_id, "start", "start" + 7200 AS "end", count(DISTINCT author_hex) AS authors FROM hop
+WHERE "start" + 7200 <= (SELECT t FROM wm) GROUP BY ALL"""))
+def _(spark, sf):
+    stream = jobs.stream_exact_authors(sighting_stream(spark, sf), "2 hours", "1 hour")
+    return jobs.run_to_table(stream, "append", "sliding")
+
+
 def collected(spark, sf):
     """The collection job over the event stream; returns its folder."""
     root = fresh_folder(spark, "collection")

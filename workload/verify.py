@@ -67,7 +67,10 @@ def main(argv: list[str]) -> int:
             continue
         start = time.time()
         try:
-            result = compare(con, run(spark, sf), sql)
+            df = run(spark, sf)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            crossed = [w for w in ("CartesianProduct", "NestedLoop") if w in plan]
+            result = f"plan has {crossed}" if crossed else compare(con, df, sql)
         except Exception as error:  # noqa: BLE001  (report and go on)
             result = f"{type(error).__name__}: {str(error)[:600]}"
         bad += bool(result) and not result.startswith("rows only")
