@@ -92,11 +92,23 @@ def coverage_grades(observed: DataFrame, monitored: Column, start: int, end: int
     return medians.withColumn("quality", coverage_quality(F.col("median_instances_per_post"), monitored))
 
 
+def origin_mask_counts(observed: DataFrame, start: int, end: int) -> DataFrame:
+    """Originals per (tag, origin, mask): what medians, origin lists and origin counts are all made from."""
+    rows = originals(observed, start, end)
+    return rows.groupBy("tag_id", F.col("origin_host").alias("host"), F.col("seen_mask").alias("mask")).agg(
+        F.count("*").alias("posts")
+    )
+
+
 def origin_breakdown(observed: DataFrame, start: int, end: int, limit: int = 20) -> DataFrame:
     counts = (
         originals(observed, start, end).groupBy("tag_id", F.col("origin_host").alias("host"))
         .agg(F.count("*").alias("posts_observed"))
     )
+    return leading_origins(counts, limit)
+
+
+def leading_origins(counts: DataFrame, limit: int = 20) -> DataFrame:
     return top_rows_per_group(counts, ["tag_id"], [F.desc("posts_observed"), F.asc("host")], limit)
 
 

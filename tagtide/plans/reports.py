@@ -50,14 +50,17 @@ def tag_report(
         F.max(F.when(F.col("seconds") == longest, F.col("posts_observed"))).alias("_posts"),
     )
     start = now - longest
-    median = W.weighted_median_popcount(W.mask_distribution(observed, start, now))
-    origins = W.origin_breakdown(observed, start, now).groupBy("tag_id").agg(
+    # The posts are read once for masks and origins together; the rest works on the counts.
+    counts = settled(W.origin_mask_counts(observed, start, now))
+    median = W.weighted_median_popcount(counts)
+    by_origin = counts.groupBy("tag_id", "host").agg(F.sum("posts").alias("posts_observed"))
+    origins = W.leading_origins(by_origin).groupBy("tag_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "host", "posts_observed"))),
             lambda o: F.struct(o["host"].alias("host"), o["posts_observed"].alias("posts_observed")),
         ).alias("origins")
     )
-    unique = W.distinct_origins(observed, start, now)
+    unique = by_origin.groupBy("tag_id").agg(F.count("*").alias("unique_origin_servers"))
     counters = history.groupBy("tag_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("day")).alias("k"), "host", "day", "uses", "accounts"))).alias("_days")
     )

@@ -31,11 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` decides. Only where nothing set it (a test run in
     one process) is a folder made here and handed to the session.
     """
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and current.isDefined():
+        return current.get()
     if not folder:
         folder = os.path.join(tempfile.gettempdir(), f"tagtide-{uuid.uuid4().hex[:12]}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
