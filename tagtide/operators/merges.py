@@ -14,6 +14,10 @@ from tagtide.operators.ingest import _ATTRIBUTES
 from tagtide.operators.ranking import global_rank, top_rows
 
 
+# Name and count of this many rows stay far below the size Spark broadcasts.
+_BROADCAST_ROWS = 100_000
+
+
 def upsert_observations(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Widens the masks of known posts, adds new ones; nothing else of a known post changes."""
     cols = ["tag_id", "uri", *_ATTRIBUTES, "seen_mask"]
@@ -49,7 +53,9 @@ def cap_candidates(batch: DataFrame, limit: int = C.CANDIDATE_WRITES) -> DataFra
     names = batch.groupBy("name").agg(F.sum("occurrences").alias("name_occurrences"))
     leading = top_rows(names, [F.desc("name_occurrences"), F.asc("name")], limit, rank=None)
     order = [F.desc("name_occurrences"), F.asc("name"), F.asc("author_hash")]
-    return top_rows(batch.join(F.broadcast(leading), "name"), order, limit, rank="write_rank")
+    # The list is as long as the allowance at most; a very large allowance is left to Spark.
+    short = F.broadcast(leading) if limit <= _BROADCAST_ROWS else leading
+    return top_rows(batch.join(short, "name"), order, limit, rank="write_rank")
 
 
 def upsert_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
