@@ -52,3 +52,40 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_folder(spark, "rans")
     rans.write(documents(spark, sf), folder, vocabulary(), end=2)
     return rans.read(spark, folder)
+
+
+_RULES = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, x FROM win GROUP BY doc_id, x HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT win.doc_id, i, unnest(range(8)) AS k
+            FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.x = twice.x) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+             CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             n_symbols * 10 > n_words OR n_dup_lines * 20 > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words AS soft FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft) AS f FROM r GROUP BY source),
+m AS (SELECT sum(f) / sum(n) AS mean, avg((f / n) * (f / n)) - avg(f / n) ** 2 AS spread, avg(1 / n) AS inverse FROM h),
+s AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * inverse > 0
+                        THEN least(1e6, greatest(1.0, mean * (1 - mean) / (spread - mean * (1 - mean) * inverse) - 1))
+                        ELSE 1e6 END AS strength FROM m),
+v AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h, s)
+"""
+
+
+@query("op10_host_rules", _RULES + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR (soft AND rate > 0.5)) AS kept
+FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.hostrules import COUNTS, judged
+
+    docs = documents(spark, sf).select("doc_id", "source", "text")
+    return judged(docs, carry=False).select("doc_id", *COUNTS, "base_failed", "kept")
