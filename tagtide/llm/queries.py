@@ -89,3 +89,13 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf).select("doc_id", "source", "text")
     return judged(docs, carry=False).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+@query("op5_simhash_gray_index")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagtide.llm.simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
