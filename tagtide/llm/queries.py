@@ -99,3 +99,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
     found = near_duplicates(documents(spark, sf))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_gated_recurrent")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.lm import scored
+
+    return scored(documents(spark, sf))
