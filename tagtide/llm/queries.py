@@ -106,3 +106,18 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.lm import scored
 
     return scored(documents(spark, sf))
+
+
+@query("op6_neighbour_votes")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.neighbours import classified, fitted
+
+    docs = documents(spark, sf).select("doc_id", "text")
+    return classified(docs, fitted(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op7_word_backoff")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.language import predicted
+
+    return predicted(documents(spark, sf).select("doc_id", "text", "lang"))

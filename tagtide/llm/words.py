@@ -51,7 +51,7 @@ class Words:
     """The words of some texts: keys, places in ``data``, and for text i the words bounds[i] to bounds[i + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
+        self.data, self.offsets = data, offsets
         gap = _SPACE[data]
         inside = ~gap
         first, last = inside.copy(), inside.copy()
