@@ -121,3 +121,38 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.language import predicted
 
     return predicted(documents(spark, sf).select("doc_id", "text", "lang"))
+
+
+_LINES = r"""
+WITH line AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+clean AS (SELECT doc_id, line, regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS l,
+                 len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w FROM line),
+unit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
+                coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t
+         FROM clean WHERE w > 0),
+win AS (SELECT doc_id, pos, list(l) OVER f AS body, max(t + w) OVER f - t AS words FROM unit
+        WINDOW f AS (PARTITION BY doc_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+full_ AS (SELECT * FROM win WHERE words >= 50),
+first_ AS (SELECT body, min(struct_pack(d := doc_id, p := pos)) AS f FROM full_ GROUP BY body HAVING count(*) > 1),
+later AS (SELECT doc_id, pos, f.d AS d0, pos - f.p AS shift FROM full_ JOIN first_ USING (body) WHERE doc_id <> f.d OR pos <> f.p),
+eq AS (SELECT x.doc_id, x.d0, x.shift, u.pos, u.line,
+              u.pos - row_number() OVER (PARTITION BY x.doc_id, x.d0, x.shift ORDER BY u.pos) AS g
+       FROM (SELECT DISTINCT doc_id, d0, shift FROM later) x JOIN unit u ON u.doc_id = x.doc_id
+       JOIN unit v ON v.doc_id = x.d0 AND v.pos = u.pos - x.shift AND v.l = u.l),
+good AS (SELECT DISTINCT doc_id, d0, shift, g FROM eq JOIN later USING (doc_id, d0, shift, pos)),
+span AS (SELECT doc_id, min(line) AS a, max(line) AS b FROM eq JOIN good USING (doc_id, d0, shift, g) GROUP BY doc_id, d0, shift, g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM span),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted,
+                coalesce(string_agg(l.l, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text
+         FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+"""
+
+
+@query("op8_winnowed_lines", _LINES + "SELECT doc_id, n_lines, n_deleted, md5(text) AS text_md5 FROM kept")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagtide.llm.linedup import deduplicated
+
+    found = deduplicated(documents(spark, sf).select("doc_id", "text"))
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
