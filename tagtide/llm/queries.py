@@ -156,3 +156,40 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
     found = deduplicated(documents(spark, sf).select("doc_id", "text"))
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
+
+
+@query("op9_latent_retrieval")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.decontaminate import leaks
+
+    return leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+def _licence_sql() -> str:
+    from tagtide.llm.licences import KNOWN, SPELLINGS
+
+    def form(text: str) -> str:
+        kept = (f"array_to_string(list_filter(string_split(replace(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), "
+                r"lambda l: NOT regexp_matches(l, '(?i)^[^a-z0-9©]*(copyright|\(c\)|©|all rights reserved)[^\n]*$') "
+                r"OR regexp_matches(l, '(?i)^[^a-z0-9©]*copyright (holders?|owners?|notices?|laws?)\b')), chr(10))")
+        out = rf"' ' || trim(regexp_replace(lower({kept}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        for old, new in sorted(SPELLINGS.items(), key=lambda pair: " " not in pair[0]):
+            if " " in old:
+                out = f"replace({out}, ' {old} ', ' {new} ')"
+        cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items() if " " not in old)
+        return f"trim(array_to_string(list_transform(string_split({out}, ' '), lambda w: CASE w {cases} ELSE w END), ' '))"
+
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN.items())
+    return f"""
+WITH k AS (SELECT f, min(name) AS licence FROM (SELECT name, {form('body')} AS f FROM (VALUES {known}) t(name, body)) GROUP BY f),
+d AS (SELECT doc_id, {form('text')} AS f FROM documents)
+SELECT doc_id, CASE WHEN d.f = '' THEN 0 ELSE len(string_split(d.f, ' ')) END AS n_words,
+       CASE WHEN d.f <> '' THEN sha256(d.f) END AS digest, licence
+FROM d LEFT JOIN k ON d.f = k.f AND d.f <> ''"""
+
+
+@query("op4_licence_digests", _licence_sql())
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.licences import known_licences, scanned
+
+    return scanned(documents(spark, sf).select("doc_id", "text"), known_licences(spark)).select("doc_id", "n_words", "digest", "licence")

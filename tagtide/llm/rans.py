@@ -139,20 +139,27 @@ class Coder:
             ids[a:b] = symbol
 
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and its ids (little-endian, 16 bits where the vocabulary allows, else 32) of whole texts, with the end id."""
+def encoded(docs: DataFrame, path: str, end: int, bounds: np.ndarray) -> DataFrame:
+    """doc_id, its ids (little-endian, 16 bits where the vocabulary allows, else 32) with the end id, and its shard.
+
+    ``bounds`` part doc_ids into shards: in ascending order, a null doc_id first.
+    """
 
     def tokens(batches):
         use = encoder(path)
         kind = "<u2" if use.size <= 1 << 16 else "<u4"
         for batch in batches:
             values = []
-            for _, _, ids, bounds in use.encode(batch.column(1), end):
+            for _, _, ids, at in use.encode(batch.column(1), end):
                 ids = ids.astype(kind)
-                values += [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc_id", "ids"])
+                values += [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            shard = np.where(known, 1 + np.searchsorted(bounds, batch.column(0).fill_null(0).to_numpy(), "right"), 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(values, pa.binary()), pa.array(shard.astype(np.int32))], ["doc_id", "ids", "shard"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tokens, "doc_id long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        tokens, "doc_id long, ids binary, shard int")
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = 2, lanes: int = 1024, every: int = 64, block_ids: int = 1 << 18) -> None:
@@ -161,9 +168,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, lanes: int = 10
     size = encoder(path).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = staged(
-        encoded(docs.select("doc_id", "text"), path, end).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-        .withColumn("shard", F.spark_partition_id()), "ids")
+    cuts = [k / (4 * parts) for k in range(1, 4 * parts)]  # some shards a task, so tasks are even
+    bounds = docs.agg(F.percentile_approx("doc_id", cuts)).first()[0] or []
+    ids = staged(encoded(docs, path, end, np.unique(np.array(bounds, np.int64))), "ids")
 
     def count(batches):
         n = np.zeros(size, np.int64)
@@ -207,7 +214,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, lanes: int = 10
         if held:
             yield made()
 
-    # A shard is dealt to one task and sorted again: how files are split between readers doesn't matter.
+    # A whole shard goes to one task: how files are split between readers doesn't matter.
     (ids.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").select("doc_id", "ids", "shard")
      .mapInArrow(blocks, "shard int, block int, n_ids long, data binary").write.parquet(f"{folder}/blocks"))
 

@@ -80,8 +80,13 @@ def key_of(word: bytes) -> int:
     return int(Words(np.frombuffer(word, np.uint8), np.array([0, len(word)])).keys[0])
 
 
-def slices(column: pa.Array, lower: bool, together: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row behind the last, their words) over a binary or string column; null texts are empty."""
+def slices(column: pa.Array, lower: bool = False, change=None, together: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row behind the last, their words) over a binary or string column; null texts are empty.
+
+    ``lower``: A-Z in lower case; ``change``: another function of the bytes, one for one.
+    """
+    if lower:
+        change = LOWER.__getitem__
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
@@ -93,7 +98,7 @@ def slices(column: pa.Array, lower: bool, together: int = 1 << 20) -> Iterator[t
     while k < len(column):
         stop = max(k + 1, int(np.searchsorted(at, at[k] + together, "right")) - 1)
         part = data[at[k] : at[stop]]
-        yield k, stop, Words(LOWER[part] if lower else part, at[k : stop + 1] - at[k])
+        yield k, stop, Words(part if change is None else change(part), at[k : stop + 1] - at[k])
         k = stop
 
 
