@@ -17,18 +17,17 @@ there as well.
 Items are taken ``ITEMS`` at a time, so what is broadcast has a bound.
 
 Defined cases: null or empty texts and items without words match nothing;
-repeated items and rows are matched each; no documents or no items give no rows.
+repeated items and rows are matched each; no documents or no items give no leaks.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import carried, id_and_text, unpacked
 from tagtide.llm.words import KeyTable, Words, ragged, slices
 
 SPAN, STEP = 32, 16
@@ -213,71 +212,92 @@ def aligned(keys: np.ndarray, item: np.ndarray, answer: np.ndarray) -> tuple[int
     return common, common >= COPY * len(item) or (common >= REWORDED * len(item) and _contains(keys, answer))
 
 
-def _found(docs: DataFrame, items: Items) -> DataFrame:
-    directions = latent_directions(docs, items)
-    latent = items.vectors @ directions
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((items, directions, latent))
-
-    def search(batches):
-        own, by, targets = shared.value
-        for batch in batches:
-            rows = []
-            for row0, _, words in slices(batch.column(1), change=plain):
-                text, first, size, owner, feature, weight = own.chosen(words)
-                for a in range(0, len(text), 1024):
-                    b = min(a + 1024, len(text))
-                    cut = slice(*np.searchsorted(owner, [a, b]))
-                    x = _projected(by, owner[cut] - a, feature[cut], weight[cut], b - a)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                    cosine = x @ targets.T
-                    near, target = np.nonzero(cosine >= COSINE)
-                    for k, t, c in zip((near + a).tolist(), target.tolist(), cosine[near, target].tolist(), strict=True):
-                        item = int(own.owner[t])
-                        rows.append((row0, int(text[k]), item, int(first[k]), int(size[k]), c))
-                if rows:
-                    yield from made(batch, words, rows, own)
-                    rows = []
-
-    def made(batch, words, rows, own):
-        best: dict[tuple, tuple] = {}
-        for row0, text, item, first, size, cosine in rows:
-            key, length = (text, item), len(own.words[item])
-            if best.get(key, (0, False))[1]:
-                continue
-            low, high = words.bounds[text], words.bounds[text + 1]
-            around = words.keys[max(low, first - length) : min(high, first + size + length)]
-            common, leak = aligned(around, own.words[item], own.answers[item])
-            if leak:
-                best[key] = (common, leak, cosine)
-        if best:
-            ids = [batch.column(0)[row0 + t].as_py() for t, _ in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([own.ids[i] for _, i in best], pa.int64()), pa.array([v[0] for v in best.values()], pa.int64()),
-                 pa.array([len(own.words[i]) for _, i in best], pa.int64()), pa.array([float(v[2]) for v in best.values()])],
-                ["doc_id", "item_id", "common_words", "item_words", "cosine"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        search, "doc_id long, item_id long, common_words long, item_words long, cosine double")
+class Search:
+    """Looks for a block of items in Arrow columns of texts."""
+
+    def __init__(self, items: Items, directions: np.ndarray):
+        self.items, self.directions = items, directions
+        latent = items.vectors @ directions
+        self.targets = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+
+    def candidates(self, words: Words):
+        """(text, item, first word, size, cosine) of passages within the cosine of an item's."""
+        text, first, size, owner, feature, weight = self.items.chosen(words)
+        for a in range(0, len(text), 1024):
+            b = min(a + 1024, len(text))
+            cut = slice(*np.searchsorted(owner, [a, b]))
+            x = _projected(self.directions, owner[cut] - a, feature[cut], weight[cut], b - a)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            cosine = x @ self.targets.T
+            near, target = np.nonzero(cosine >= COSINE)
+            yield from zip(text[near + a].tolist(), self.items.owner[target].tolist(), first[near + a].tolist(), size[near + a].tolist(),
+                           cosine[near, target].tolist(), strict=True)
+
+    def matches(self, column: pa.Array) -> list[tuple]:
+        """(row, item, common words, cosine) of the leaks in a column."""
+        found: dict[tuple, tuple] = {}
+        for row0, _, words in slices(column, change=plain):
+            for text, item, first, size, cosine in self.candidates(words):
+                if (row0 + text, item) in found:
+                    continue
+                own = self.items.words[item]
+                low, high = words.bounds[text], words.bounds[text + 1]
+                around = words.keys[max(low, first - len(own)) : min(high, first + size + len(own))]
+                common, leak = aligned(around, own, self.items.answers[item])
+                if leak:
+                    found[row0 + text, item] = (common, cosine)
+        return [(row, item, *value) for (row, item), value in found.items()]
+
+
+def searches(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
+    """One for each block of items, learned from all documents."""
+    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), answer.cast("string").cast("binary").alias("answer"))
+    blocks: list[list[tuple]] = []
+    for row in rows.where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
+        if len(plain_words(bytes(row["text"])).keys):
+            if not blocks or len(blocks[-1]) == ITEMS:
+                blocks.append([])
+            blocks[-1].append((row["item_id"], bytes(row["text"]), None if row["answer"] is None else bytes(row["answer"])))
+    if not blocks:
+        return []
+    frequencies = word_frequencies(docs)
+    return [Search(items, latent_directions(docs, items)) for items in (Items(block, frequencies) for block in blocks)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, common_words, item_words, cosine: every item that a document holds."""
-    answer = F.col("answer").cast("binary") if "answer" in benchmark.columns else F.lit(None).cast("binary")
-    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), answer.alias("answer")).orderBy("item_id").toLocalIterator()
-    frequencies = word_frequencies(docs)
-    blocks: list[list[tuple]] = [[]]
-    for row in rows:
-        if len(blocks[-1]) == ITEMS:
-            blocks.append([])
-        if len(plain_words(bytes(row["text"] or b"")).keys):
-            blocks[-1].append((row["item_id"], bytes(row["text"]), None if row["answer"] is None else bytes(row["answer"])))
-    found = [_found(docs, Items(block, frequencies)) for block in blocks if block]
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, common_words long, item_words long, cosine double")
-    return functools.reduce(DataFrame.unionByName, found)
+    schema = "doc_id long, item_id long, common_words long, item_words long, cosine double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for search in searches(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(search)
+
+        def look(batches, shared=shared):
+            own = shared.value
+            for batch in batches:
+                rows = own.matches(batch.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([own.items.ids[r[1]] for r in rows], pa.int64()),
+                     pa.array([r[2] for r in rows], pa.int64()), pa.array([len(own.items.words[r[1]]) for r in rows], pa.int64()),
+                     pa.array([float(r[3]) for r in rows], pa.float64())],
+                    ["doc_id", "item_id", "common_words", "item_words", "cosine"])
+
+        found = found.union(id_and_text(docs).mapInArrow(look, schema))
+    return found
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold an item; a null doc_id cannot be named and stays."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those that hold an item, with their own columns. Rows are judged where they are, so nothing is shuffled."""
+    out = carried(docs, "text").withColumn("text", F.col("text").cast("binary"))
+    for search in searches(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(search)
+
+        def sift(batches, shared=shared):
+            own = shared.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in own.matches(batch.column(1))]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(sift, out.schema)
+    return out.select(*unpacked(docs.columns))

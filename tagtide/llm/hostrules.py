@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import carried, unpacked
 from tagtide.llm.staging import staged
 
 WINDOW = 8
@@ -86,7 +87,7 @@ def failures() -> dict[str, Column]:
     }
 
 
-def host_rates(counted_docs: DataFrame, host: str = "source") -> DataFrame:
+def host_rates(counted_docs: DataFrame, host: str = "host") -> DataFrame:
     """host, n, failed, rate and shrunk_rate: any rule's failures among the host's documents."""
     some = next(iter(failures().values()))
     for rule in list(failures().values())[1:]:
@@ -106,19 +107,24 @@ def host_rates(counted_docs: DataFrame, host: str = "source") -> DataFrame:
                         ((F.col("failed") + mean * strength) / (F.col("n") + strength)).alias("shrunk_rate"))
 
 
-def judged(docs: DataFrame, host: str = "source", limit: float = 0.5, carry: bool = True) -> DataFrame:
-    """Documents with counts, base_failed, host_rate and kept; without their texts unless ``carry``.
+def judged(docs: DataFrame, host: str = "source", limit: float = 0.5, own: list[str] | None = None) -> DataFrame:
+    """The rows (or their ``own`` columns) as ``_doc`` with counts, host, base_failed, host_rate and kept.
 
     The counts are stored once for both passes.
     """
-    rows = counted(docs)
-    rows = staged(rows if carry else rows.drop("text"), "counted")
-    rates = host_rates(rows, host).select(F.col("host").alias("_host"), F.col("shrunk_rate").alias("host_rate"))
+    rows = counted(carried(docs, "text", host, own=own).withColumnRenamed(host, "host"))
+    rows = staged(rows.drop("text"), "counted")
+    rates = host_rates(rows).select(F.col("host").alias("_host"), F.col("shrunk_rate").alias("host_rate"))
     rules = failures()
     base = rules["few_words"] | rules["repeats"]
     soft = rules["symbols"] | rules["dup_lines"] | rules["word_length"]
     return (
-        rows.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+        rows.join(rates, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
         .withColumn("base_failed", base)
         .withColumn("kept", ~(base | (soft & (F.coalesce(F.col("host_rate"), F.lit(0.0)) > limit))))
     )
+
+
+def kept(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
+    """The documents that the rules keep, with their own columns."""
+    return judged(docs, host, limit).where("kept").select(*unpacked(docs.columns))

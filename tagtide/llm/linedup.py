@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import DOC, carried, unpacked
 from tagtide.llm.hostrules import let, words_of
 from tagtide.llm.staging import staged
 
@@ -86,26 +87,39 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their columns and the text without repeated runs; _lines and _deleted say how many lines there were and went."""
-    name = lambda base: base + "_" * (1 + max((len(c) for c in docs.columns), default=0))  # noqa: E731  (clashes with no column)
-    row, cut = name("row"), name("cut")
-    kept = staged(docs.withColumn(row, F.monotonically_increasing_id()), "lines")
-    units = staged(kept.select(F.col(row).alias("row"), "doc_id", _units(F.col("text")).alias("units")).where("size(units) > 0"), "units")
-    runs = repeated_runs(units, min_words).select(F.col("row").alias(row), F.col("lines").alias(cut))
+    """The rows as ``_doc`` with text (without repeated runs), n_lines and n_deleted."""
+    rows = staged(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "lines")
+    units = staged(rows.select("row", "doc_id", _units(F.col("text")).alias("units")).where("size(units) > 0"), "units")
+    runs = repeated_runs(units, min_words).withColumnRenamed("lines", "cut")
+
+    def merged(spans: Column) -> Column:
+        def add(out: Column, s: Column) -> Column:
+            end = F.get(out, F.size(out) - 1)
+            longer = F.struct(end["a"].alias("a"), F.greatest(end["b"], s["b"]).alias("b"))
+            return F.when((F.size(out) > 0) & (end["b"] + 1 >= s["a"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(
+                F.concat(out, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+
+        return F.aggregate(spans, F.array().cast("array<struct<a:int,b:int>>"), add)
 
     def remaining(lines: Column) -> Column:
-        # Spans are sorted; each line is looked for among the last span that starts at or before it, once spans are merged.
-        merged = F.aggregate(F.col(cut), F.array().cast("array<struct<a:int,b:int>>"), lambda out, s: F.when(
-            (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["b"] + 1 >= s["a"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-                F.get(out, F.size(out) - 1)["a"].alias("a"), F.greatest(F.get(out, F.size(out) - 1)["b"], s["b"]).alias("b"))))
-        ).otherwise(F.concat(out, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))))
-        gone = let(merged, lambda m: F.flatten(F.transform(m, lambda s: F.sequence(s["a"], s["b"]))))
+        gone = let(merged(F.col("cut")), lambda m: F.flatten(F.transform(m, lambda s: F.sequence(s["a"], s["b"]))))
         return let(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda keep: F.transform(keep, lambda k: F.get(lines, k)))
 
     whole = F.split(F.col("text"), "\n")
-    left = F.when(F.col(cut).isNull(), whole).otherwise(let(whole, remaining))
-    out = kept.join(runs, row, "left").withColumn("_left", left)
+    left = F.when(F.col("cut").isNull(), whole).otherwise(let(whole, remaining))
+    out = rows.join(runs, "row", "left").withColumn("left", left)
     return out.select(
-        *(F.array_join("_left", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size(whole).cast("long").alias("_lines"), (F.size(whole) - F.size("_left")).cast("long").alias("_deleted"))
+        DOC, F.array_join("left", "\n").alias("text"), F.coalesce(F.size(whole), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(whole) - F.size("left"), F.lit(0)).cast("long").alias("n_deleted"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their own columns: text without repeated runs, and n_chars, where there is one, of that text.
+
+    Documents that lose every word go; those that had none stay as they are.
+    """
+    word = F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]"))
+    out = deduplicated(docs, min_words).where(F.coalesce(word, F.lit(False)) | (F.col("n_deleted") == 0))
+    length = F.when(F.col("n_deleted") == 0, F.col(f"{DOC}.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType) if (
+        "n_chars" in docs.columns) else F.lit(None)
+    return out.select(*unpacked(docs.columns, text=F.col("text"), n_chars=length))

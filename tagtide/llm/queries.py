@@ -87,8 +87,7 @@ FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.hostrules import COUNTS, judged
 
-    docs = documents(spark, sf).select("doc_id", "source", "text")
-    return judged(docs, carry=False).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(documents(spark, sf), own=["doc_id"]).select("_doc.doc_id", *COUNTS, "base_failed", "kept")
 
 
 @query("op5_simhash_gray_index")
@@ -155,7 +154,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.linedup import deduplicated
 
     found = deduplicated(documents(spark, sf).select("doc_id", "text"))
-    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
+    return found.select("_doc.doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
 
 
 @query("op9_latent_retrieval")

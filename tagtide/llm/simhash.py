@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import carried, id_and_text, unpacked
 from tagtide.llm.components import components
 from tagtide.llm.staging import staged
 
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long")
 
 
 def _signed(bits: int) -> int:
@@ -208,3 +209,12 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = linked.join(least, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 5) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id (a null one last), with its own columns."""
+    rows = staged(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("row"), "component_id")
+    first = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*unpacked(docs.columns))
