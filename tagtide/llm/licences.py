@@ -27,7 +27,7 @@ SPELLINGS = {
     "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "noncommercial": "non commercial",
     "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize",
     "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
-    "signalling": "signaling", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while",
+    "signalling": "signaling", "sub licence": "sublicense", "sub license": "sublicense", "utilisation": "utilization", "whilst": "while",
     "wilful": "wilfull",
 }
 
