@@ -66,7 +66,7 @@ CANDIDATE_WRITES = 60
 BACKOFF_BASE_SECONDS = 60
 BACKOFF_CAP_SECONDS = 3600
 REFUSED_STATUSES = (401, 403, 422)
-MASK_BITS = 52
+MASK_BITS = 63
 REPROBE_SECONDS = WEEK
 COUNTER_SOURCES = 2
 COUNTER_FRESH_SECONDS = 6 * HOUR

@@ -18,8 +18,10 @@ def popcount(mask: Column) -> Column:
 
 
 def bit_mask(bit: Column) -> Column:
-    """One server's mask; a server without a bit contributes nothing."""
-    return F.coalesce(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit), F.lit(0).cast("bigint"))
+    """One server's mask; a server without a bit contributes nothing, a bit outside 0 to 62 is an error."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    wrong = F.raise_error(F.concat(F.lit("no mask has bit "), bit.cast("string"))).cast("bigint")
+    return F.when(bit.isNull(), F.lit(0).cast("bigint")).when(bit.between(0, 62), mask).otherwise(wrong)
 
 
 def mask_bits(mask: Column, width: int = 63) -> Column:

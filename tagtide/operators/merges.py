@@ -230,8 +230,8 @@ def set_opt_out(registry: DataFrame, hosts: DataFrame) -> DataFrame:
 def add_servers(registry: DataFrame, hosts: DataFrame, now: int, width: int = C.MASK_BITS) -> DataFrame:
     """Adds unknown hosts in the order given by ``seq``, each on the lowest free bit.
 
-    A host finding no free bit is not added. At most ``width`` bits exist, so
-    both sides of the pairing are bounded by it.
+    A host finding no free bit is not added; ``rejected_servers`` names those.
+    At most ``width`` bits exist, so both sides of the pairing are bounded by it.
     """
     spark = registry.sparkSession
     free = spark.range(width).select(F.col("id").cast("int").alias("bit")).join(
@@ -250,6 +250,12 @@ def add_servers(registry: DataFrame, hosts: DataFrame, now: int, width: int = C.
     return registry.unionByName(added)
 
 
+def rejected_servers(registry: DataFrame, hosts: DataFrame, after: DataFrame) -> DataFrame:
+    """(host, reason) of the asked-for hosts that ``add_servers`` could not place."""
+    asked = hosts.select("host").distinct().join(registry.select("host"), "host", "left_anti")
+    return asked.join(after.select("host"), "host", "left_anti").withColumn("reason", F.lit("no_free_bit"))
+
+
 def suppress_authors(
     suppression: DataFrame, observed: DataFrame, hashes: DataFrame, now: int
 ) -> tuple[DataFrame, DataFrame]:

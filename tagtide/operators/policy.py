@@ -163,9 +163,15 @@ def retier(tags: DataFrame, rates: DataFrame, now: int, **limits) -> DataFrame:
     return tracked.join(tiers, "id").filter(F.col("tier") != F.col("new_tier")).select("id", "name", "tier", "new_tier")
 
 
-def rank_trending(overview: DataFrame, comparable: Column, limit: int = C.TRENDING_DEFAULT) -> DataFrame:
-    """The busiest tags of the last hour by authors, each with a direction that may be withheld."""
-    bounded = max(1, min(C.TRENDING_MAX, int(limit)))
+def rank_trending(
+    overview: DataFrame, comparable: Column, limit: int = C.TRENDING_DEFAULT, most: int | None = C.TRENDING_MAX
+) -> DataFrame:
+    """The busiest tags of the last hour by authors, each with a direction that may be withheld.
+
+    ``limit`` is held to 1 at least and, as the published report does, to
+    ``most`` at most; None lifts that.
+    """
+    bounded = max(1, int(limit) if most is None else min(most, int(limit)))
     order = [F.desc("authors_1h"), F.desc("origin_servers_24h"), F.asc("name")]
     top = top_rows(overview.filter(F.col("authors_1h") > 0), order, bounded)
     called = direction(F.col("authors_1h"), F.col("authors_prev_1h"), comparable)

@@ -39,13 +39,17 @@ def candidate_figures(pool: DataFrame) -> DataFrame:
 
 
 def load_candidates(
-    pool: DataFrame, tags: DataFrame, since: int, min_authors: int = C.MIN_AUTHORS, limit: int = C.CANDIDATE_LIMIT
+    pool: DataFrame, tags: DataFrame, since: int, min_authors: int = C.MIN_AUTHORS,
+    limit: int | None = C.CANDIDATE_LIMIT,
 ) -> DataFrame:
-    """The leading candidates. Known names leave before the cut, so they cannot crowd it."""
+    """The leading candidates, or all of them, without a rank, where there is no limit.
+
+    Known names leave before the cut, so they cannot crowd it.
+    """
     rows = pool.filter(F.col("first_seen") >= since).join(known_names(tags), "name", "left_anti")
     figures = candidate_figures(rows).filter(F.col("distinct_authors") >= min_authors)
     order = [F.desc("distinct_origin_servers"), F.desc("distinct_authors"), F.asc("name")]
-    return top_rows(figures, order, limit)
+    return figures if limit is None else top_rows(figures, order, limit)
 
 
 def candidate_stats(pool: DataFrame, names: DataFrame, since: int) -> DataFrame:

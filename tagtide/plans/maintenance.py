@@ -38,8 +38,9 @@ def discovery_decisions(
         retired(excess, "over_ceiling")
     ))
     after = merges.retire_tags(tags, retiring.select("id"), now)
-    wanted = policy.queried_untracked(after, now - C.WEEK)
-    candidates = settled(P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR))
+    # Neither list is cut before the gates; more than max_tracked can never be taken.
+    wanted = policy.queried_untracked(after, now - C.WEEK, max(1, max_tracked))
+    candidates = P.load_candidates(pool, after, now - C.POOL_HOURS * C.HOUR, limit=None)
     promoted = policy.select_promotions_with_queried(
         wanted, candidates, policy.count_tracked(after).scalar(), max_tracked
     )
@@ -67,12 +68,12 @@ def probe_pass(registry: DataFrame, results: DataFrame, now: int) -> tuple[DataF
 
 def tick_report(
     jobs: DataFrame, polls: DataFrame, normalised: DataFrame, sightings: DataFrame, tags: DataFrame, keys: list[str],
-    candidate_limit: int = C.CANDIDATE_WRITES,
+    candidate_limit: int | None = None,
 ) -> DataFrame:
     """One row per batch: jobs, bytes, servers, posts, writes, candidates and skips.
 
     ``jobs`` carries ``run`` and ``bytes``; ``sightings`` is the exploded tags of
-    kept posts.
+    kept posts. All candidates are written unless the caller sets an allowance.
     """
     planned = jobs.groupBy(*keys).agg(
         F.count("*").alias("jobs_planned"), F.count_if("run").alias("jobs_run"),
@@ -94,7 +95,7 @@ def tick_report(
     pairs = fresh.select(*keys, "name", "author_hash").distinct().groupBy(*keys, "name").agg(F.count("*").alias("_pairs"))
     seen = pairs.groupBy(*keys).agg(
         F.count("*").alias("candidates_seen"),
-        F.least(F.sum("_pairs"), F.lit(candidate_limit)).alias("candidates_written"),
+        (F.sum("_pairs") if candidate_limit is None else F.least(F.sum("_pairs"), F.lit(candidate_limit))).alias("candidates_written"),
     )
     report = planned
     for part in (hosts, skips, written, minutes, seen):

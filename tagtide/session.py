@@ -39,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder and current.isDefined():
         return current.get()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"tagtide-{uuid.uuid4().hex[:12]}")
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(folder)

@@ -95,11 +95,11 @@ def current_observations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def current_candidates(spark: SparkSession, root: str) -> DataFrame:
-    """The pool: one sighting per (name, author) and batch."""
+    """The pool: each batch adds one sighting to its (name, author) pairs, a compacted batch as many as it folded."""
     changes = read_changes(spark, root, "tag_candidate")
     detail = F.struct("first_seen", "origin_host", "tags_on_post")
     return changes.groupBy("name", "author_hash").agg(
-        F.min_by(detail, "batch").alias("_kept"), F.count("*").alias("posts_seen")
+        F.min_by(detail, "batch").alias("_kept"), F.sum("posts_seen").alias("posts_seen")
     ).select("name", "author_hash", "_kept.*", "posts_seen")
 
 
@@ -110,12 +110,13 @@ def compact(spark: SparkSession, root: str, table: str, fold: Callable[[SparkSes
 
 def collect_batch(
     batch: DataFrame, batch_id: int, root: str, tags: DataFrame, registry: DataFrame, salt: str,
-    suppressed: DataFrame | None = None, candidate_limit: int = C.CANDIDATE_WRITES,
+    suppressed: DataFrame | None = None, candidate_limit: int | None = None,
 ) -> None:
     """One collection batch of post views, written as change tables.
 
     ``batch`` has normalised posts with ``skip_reason`` or captured pages with a
-    ``body``; pages are parsed and normalised here.
+    ``body``; pages are parsed and normalised here. Every candidate is written
+    unless the caller sets an allowance.
     """
     if "body" in batch.columns:
         statuses = raw.parse_statuses(batch).withColumnRenamed("server", "host").withColumnRenamed("batch_at", "observed_at")
@@ -130,9 +131,9 @@ def collect_batch(
     write_change(merged, root, "observation", batch_id)
     write_change(ingest.touched_minutes(merged), root, "touched_minute", batch_id)
     fresh = ingest.untracked_sightings(sightings, tags)
-    capped = merges.cap_candidates(merges.candidate_batch(fresh, F.col("at")) if "at" in fresh.columns
-                                   else _stamped(fresh), candidate_limit)
-    write_change(capped.select("name", "author_hash", "first_seen", "origin_host", "tags_on_post"), root, "tag_candidate", batch_id)
+    pairs = _stamped(fresh) if candidate_limit is None else merges.cap_candidates(_stamped(fresh), candidate_limit)
+    pairs = pairs.withColumn("posts_seen", F.lit(1).cast("bigint"))
+    write_change(pairs.select("name", "author_hash", "first_seen", "origin_host", "tags_on_post", "posts_seen"), root, "tag_candidate", batch_id)
     write_change(ingest.skip_counts(posts), root, "skip_count", batch_id)
 
 
@@ -147,7 +148,7 @@ def start_collection(
     suppressed: DataFrame | None = None, **options,
 ) -> StreamingQuery:
     """Runs ``collect_batch`` on every micro-batch of a page stream."""
-    candidate_limit = options.pop("candidate_limit", C.CANDIDATE_WRITES)
+    candidate_limit = options.pop("candidate_limit", None)
     writer = pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, i: collect_batch(batch, i, root, tags, registry, salt, suppressed, candidate_limit)
     )
@@ -204,7 +205,11 @@ def sweep(
 
 
 def run_to_table(stream: DataFrame, mode: str, purpose: str) -> DataFrame:
-    """Drains a stream into a table in the shared folder and reads it back."""
+    """Drains a stream into a table in the shared folder and reads it back.
+
+    In update mode a row replaces the one of the same (tag_id, uri) that an
+    earlier batch wrote; a batch that runs again overwrites its own folder.
+    """
     spark = stream.sparkSession
     out = fresh_folder(spark, purpose)
     if mode == "append":
@@ -217,4 +222,8 @@ def run_to_table(stream: DataFrame, mode: str, purpose: str) -> DataFrame:
             .trigger(availableNow=True).start()
         )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table") if mode == "append" else spark.read.parquet(f"{out}/table")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{out}/table")
+    changes = spark.read.parquet(f"{out}/table")
+    newest = F.max_by(F.struct(*stream.columns), "batch").alias("_row")
+    return changes.groupBy("tag_id", "uri").agg(newest).select("_row.*")

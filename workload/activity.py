@@ -498,7 +498,7 @@ retiring AS (SELECT 'quiet' AS reason, id, name FROM quiet
   UNION ALL SELECT 'over_ceiling', id, name FROM excess),
 after AS (SELECT * EXCLUDE (tracked), tracked AND id NOT IN (SELECT id FROM retiring) AS tracked FROM tag),
 still AS (SELECT * FROM after WHERE tracked AND NOT blocked)""",
-    _LOADED.format(n=100).replace("FROM tag WHERE", "FROM after WHERE"), _QUEUED.format(t="after"),
+    _LOADED.format(n=1_000_000_000).replace("FROM tag WHERE", "FROM after WHERE"), _QUEUED.format(t="after"),
     _WANTED.format(active="still").replace("50 -", "20 -"), """
 SELECT 'retire' AS action, reason, id, name, NULL AS place FROM retiring
 UNION ALL SELECT 'promote', source, NULL, name, rank FROM chosen""")

@@ -179,7 +179,7 @@ def tag_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def counters(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counters by name for words of the documents: what servers say of unpolled tags."""
-    rows = word_rows(spark, sf).filter(F.col("n_words") >= 3)
+    rows = word_rows(spark, sf)
     return rows.select(
         F.col("name").alias("tag"), F.concat(F.lit("h"), (F.col("doc_id") % 2).cast("string"), F.lit(".example")).alias("host"),
         (F.lit(NOW - 43200) - (F.col("doc_id") % 7) * 86400).alias("day"), F.col("doc_id"),
@@ -192,7 +192,7 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
 
 def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of every whole document, as tags seen on a post."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]{3,})"), F.lit(1)), F.lower))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.lower))
     d = F.col("doc_id")
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select(
         "doc_id", "source", words.alias("words"),

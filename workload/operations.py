@@ -91,7 +91,7 @@ def _(spark, sf):
 @check("add_servers", q(EV, POLLS, """
 cand AS (SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, min(page_id) AS seq FROM pages GROUP BY 1),
 new AS (SELECT host, row_number() OVER (ORDER BY seq, host) AS rn FROM cand),
-free AS (SELECT b AS bit, row_number() OVER (ORDER BY b) AS rn FROM (SELECT unnest(range(52)) AS b)
+free AS (SELECT b AS bit, row_number() OVER (ORDER BY b) AS rn FROM (SELECT unnest(range(63)) AS b)
          WHERE b NOT IN (SELECT bit FROM registry))""", """
 SELECT host, bit, capability FROM registry UNION ALL
 SELECT new.host, free.bit, 'unknown' FROM new JOIN free USING (rn)"""))

@@ -139,15 +139,17 @@ def _(spark, sf):
 
 
 @check("clean_tag_input", q(WORDS, r"""
-SELECT DISTINCT name, CASE len(name) % 4 WHEN 0 THEN name WHEN 1 THEN name WHEN 2 THEN name END AS tag
-FROM words WHERE len(name) <= 100"""))
+SELECT DISTINCT name, CASE WHEN len(name) <= 100 THEN CASE len(name) % 4 WHEN 0 THEN name WHEN 1 THEN name WHEN 2 THEN name END END AS tag
+FROM (SELECT name FROM words UNION ALL SELECT repeat(name, 40) FROM words)"""))
 def _(spark, sf):
     n = F.col("name")
     spelled = (
-        F.when(F.length(n) % 4 == 0, F.concat(F.lit("%23"), F.upper(n))).when(F.length(n) % 4 == 1, F.concat(F.lit(" #"), n))
+        # Capitals, where they lead back to the same word.
+        F.when(F.length(n) % 4 == 0, F.concat(F.lit("%23"), F.when(F.length(F.upper(n)) == F.length(n), F.upper(n)).otherwise(n))).when(F.length(n) % 4 == 1, F.concat(F.lit(" #"), n))
         .when(F.length(n) % 4 == 2, F.concat(n, F.lit("%20"))).otherwise(F.concat(n, F.lit("-x")))
     )
-    rows = B.word_rows(spark, sf).filter(F.length("name") <= 100)
+    words = B.word_rows(spark, sf).select("name")
+    rows = words.unionByName(words.select(F.repeat("name", 40).alias("name")))  # also names that are too long
     return rows.select("name", X.clean_tag_input(spelled).alias("tag")).distinct()
 
 
@@ -327,13 +329,11 @@ def _(spark, sf):
 
 
 @check("append_poll_log", q(EV, POLLS, """
-SELECT host, status, count(*) AS polls, min("at") AS first_at, max("at") AS last_at FROM poll GROUP BY host, status"""))
+SELECT host, "at", status, latency_ms, remaining AS ratelimit_remaining FROM poll"""))
 def _(spark, sf):
     log = B.polls(spark, sf).select("host", "at", "status", "tags", "new_observations", "latency_ms", "ratelimit_remaining", "k")
     parts = [log.filter(c).drop("k") for c in (F.col("k") < 50, F.col("k") >= 50)]
-    return merges.append_poll_log(*parts).groupBy("host", "status").agg(
-        F.count("*").alias("polls"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
-    )
+    return merges.append_poll_log(*parts).select("host", "at", "status", "latency_ms", "ratelimit_remaining")
 
 
 @check("upsert_tag_history", q(OBS, f"""
@@ -357,6 +357,17 @@ def _(spark, sf):
     return kept.select("tag_id", "uri")
 
 
+@check("suppression_list", q(OBS, f"""
+sup AS (SELECT DISTINCT substr(sha256('test-salt u' || doc_id), 1, 32) AS author_hex, doc_id FROM labels WHERE quality = 0)""", f"""
+SELECT author_hex, CASE WHEN doc_id % 2 = 0 THEN {NOW} - 100 ELSE {NOW} END AS added_at FROM sup"""))
+def _(spark, sf):
+    labels = B.table(spark, sf, "labels").filter((F.col("quality") == 0) & (F.col("doc_id") % 2 == 0))
+    listed = labels.select(X.author_hash(F.concat(F.lit("u"), F.col("doc_id").cast("string")), B.SALT).alias("author_hash")).distinct()
+    stored = listed.withColumn("added_at", F.lit(B.NOW - 100).cast("bigint"))
+    after, _ = merges.suppress_authors(stored, B.observed(spark, sf), suppressed_authors(spark, sf), B.NOW)
+    return after.select(X.hash_hex(F.col("author_hash")).alias("author_hex"), "added_at")
+
+
 @check("suppressed_authors", """
 SELECT DISTINCT substr(sha256('test-salt u' || doc_id), 1, 32) AS author_hex FROM labels WHERE quality = 0""")
 def _(spark, sf):

@@ -72,9 +72,9 @@ overview AS (SELECT t.id, any_value(t.name) AS name, any_value(t.display) AS dis
     count(DISTINCT o.origin_host) AS origin_servers_24h
   FROM active t LEFT JOIN orig o ON o.tag_id = t.id AND o.created_at >= {NOW} - 86400 GROUP BY t.id)"""
 
-WORDS = f"""
+WORDS = rf"""
 words AS (SELECT doc_id, source, len(w) AS n_words, unnest(w) AS name FROM (
-    SELECT doc_id, source, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{{3,}}'), lambda x: lower(x))) AS w
+    SELECT doc_id, source, list_distinct(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x))) AS w
     FROM documents)),
 sighting AS (SELECT name, substr(sha256('test-salt d' || (doc_id % 37)), 1, 32) AS author_hex, source AS origin_host,
     least(n_words, 20) AS tags_on_post, {NOW} - (doc_id % 72) * 3600 AS observed_at, doc_id AS seq FROM words)"""
@@ -91,7 +91,7 @@ figures AS (SELECT name, count(*) AS distinct_authors, count(DISTINCT origin_hos
 
 COUNTERS = f"""
 counters AS (SELECT name AS tag, 'h' || (doc_id % 2) || '.example' AS host, {NOW} - 43200 - (doc_id % 7) * 86400 AS day,
-    count(*) AS uses, count(DISTINCT doc_id % 5) AS accounts FROM words WHERE n_words >= 3 GROUP BY 1, 2, 3)"""
+    count(*) AS uses, count(DISTINCT doc_id % 5) AS accounts FROM words GROUP BY 1, 2, 3)"""
 
 ROLLUP = """
 rollup AS (SELECT tag_id, created_at // 60 AS minute, count(*) AS posts, 9 AS instances_reporting

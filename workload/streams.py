@@ -1,4 +1,4 @@
-"""Checks of the streaming forms, fed from the event table as a file stream."""
+"""Checks of the streaming forms, fed from the event table as a file stream of several micro-batches."""
 
 from __future__ import annotations
 
@@ -14,13 +14,41 @@ from workload.sql import EV, NOW, OBS, POLLS, TAG, q
 from workload.operations import _FOLD
 
 _ACTIVE = OBS.replace("JOIN tag t ON t.name = v.name", "JOIN active t ON t.name = v.name")
+_ARRIVALS = """
+span AS (SELECT min(created_at) AS low, max(created_at) AS high FROM ev),
+arrival AS (SELECT ev.*, least(CAST(floor(4 * (created_at - low) / (high - low + 1)) AS INTEGER)
+                   + CASE WHEN event_id % 50 = 0 THEN 3 ELSE 0 END, 4) AS batch FROM ev, span)"""
+# An event is too late if what it counts for ended before the watermark of the batch before its own.
+_LATE = _ARRIVALS + """,
+reached AS (SELECT b, (SELECT max(created_at) - 25 * 3600 FROM arrival WHERE event_id % 11 <> 0 AND batch < b - {lag}) AS t
+            FROM (SELECT unnest(range(5)) AS b)),
+late AS (SELECT 'h' || (event_id % 13) || '.example/p/' || event_id AS post, coalesce(t, 0) AS t FROM arrival JOIN reached ON b = batch),
+arrived AS (SELECT o.*, late.t AS t FROM {table} o JOIN late ON o.uri = 'https://' || late.post)"""
 _MARK = "wm AS (SELECT max(created_at) - 25 * 3600 AS t FROM ev WHERE NOT (event_id % 11 = 0))"
 
 
-def event_stream(spark, sf):
-    """The event table as a stream of one file."""
-    schema = B.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+_FILES = 4  # of each micro-batch
+
+
+def event_stream(spark, sf, messy=True):
+    """The event table as a stream of five micro-batches: four quarters of its time, then what is left over.
+
+    If ``messy``, one event in 50 comes three batches late, most of these behind the
+    watermark, and one in 20 comes again in the batch after its own.
+    """
+    events = B.table(spark, sf, "events")
+    at = B.seconds(F.col("ts"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    quarter = F.floor(4 * (at - low) / (high - low + 1)).cast("int")
+    late = (F.col("event_id") % 50 == 0) & F.lit(messy)
+    rows = events.withColumn("_batch", F.least(quarter + F.when(late, 3).otherwise(0), F.lit(4)))
+    if messy:
+        again = rows.filter(F.col("event_id") % 20 == 1).withColumn("_batch", F.least(F.col("_batch") + 1, F.lit(4)))
+        rows = rows.unionByName(again)
+    folder = fresh_folder(spark, "events")
+    for k in range(5):  # one after another: a stream takes files by age
+        rows.filter(F.col("_batch") == k).drop("_batch").repartition(_FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _FILES).parquet(folder)
 
 
 def sighting_stream(spark, sf):
@@ -28,31 +56,31 @@ def sighting_stream(spark, sf):
     return jobs.credit_stream(views, B.event_tags(spark, sf), B.registry(spark, sf))
 
 
-@check("stream_observations", q(_ACTIVE, """
-SELECT tag_id, uri, created_at, observed_at, is_boost, seen_mask FROM obs"""))
+@check("stream_observations", q(_ACTIVE, _LATE.format(table="obs", lag=1), """
+SELECT tag_id, uri, created_at, observed_at, is_boost, seen_mask FROM arrived WHERE created_at > t"""))
 def _(spark, sf):
     rows = jobs.run_to_table(jobs.stream_observations(sighting_stream(spark, sf)), "update", "observations")
     return rows.select("tag_id", "uri", "created_at", "observed_at", "is_boost", "seen_mask")
 
 
-@check("stream_minute_counts", q(_ACTIVE, _MARK, """
-SELECT tag_id, created_at // 60 AS minute, count(*) AS posts FROM orig
-WHERE (created_at // 60 + 1) * 60 <= (SELECT t FROM wm) GROUP BY 1, 2"""))
+@check("stream_minute_counts", q(_ACTIVE, _MARK, _LATE.format(table="orig", lag=1), """
+SELECT tag_id, created_at // 60 AS minute, count(*) AS posts FROM arrived
+WHERE (created_at // 60 + 1) * 60 <= (SELECT t FROM wm) AND (created_at // 60 + 1) * 60 > t GROUP BY 1, 2"""))
 def _(spark, sf):
     return jobs.run_to_table(jobs.stream_minute_counts(sighting_stream(spark, sf)), "append", "minutes")
 
 
-@check("stream_exact_authors", q(_ACTIVE, _MARK, """
+@check("stream_exact_authors", q(_ACTIVE, _MARK, _LATE.format(table="orig", lag=1), """
 SELECT tag_id, created_at // 3600 * 3600 AS "start", created_at // 3600 * 3600 + 3600 AS "end", count(DISTINCT author_hex) AS authors
-FROM orig WHERE created_at // 3600 * 3600 + 3600 <= (SELECT t FROM wm) GROUP BY ALL"""))
+FROM arrived WHERE created_at // 3600 * 3600 + 3600 <= (SELECT t FROM wm) AND created_at // 3600 * 3600 + 3600 > t GROUP BY ALL"""))
 def _(spark, sf):
     return jobs.run_to_table(jobs.stream_exact_authors(sighting_stream(spark, sf)), "append", "authors")
 
 
-@check("stream_sliding_authors", q(_ACTIVE, _MARK, """
-hop AS (SELECT *, created_at // 3600 * 3600 - 3600 * unnest([0, 1]) AS "start" FROM orig)""", """
+@check("stream_sliding_authors", q(_ACTIVE, _MARK, _LATE.format(table="orig", lag=1), """
+hop AS (SELECT *, created_at // 3600 * 3600 - 3600 * unnest([0, 1]) AS "start" FROM arrived)""", """
 SELECT tag_id, "start", "start" + 7200 AS "end", count(DISTINCT author_hex) AS authors FROM hop
-WHERE "start" + 7200 <= (SELECT t FROM wm) GROUP BY ALL"""))
+WHERE "start" + 7200 <= (SELECT t FROM wm) AND "start" + 7200 > t GROUP BY ALL"""))
 def _(spark, sf):
     stream = jobs.stream_exact_authors(sighting_stream(spark, sf), "2 hours", "1 hour")
     return jobs.run_to_table(stream, "append", "sliding")
@@ -75,11 +103,11 @@ def _(spark, sf):
     return rows.select("tag_id", "uri", "created_at", "observed_at", "seen_mask")
 
 
-@check("stream_candidate_pool", q(EV, TAG, """
-s AS (SELECT name, author_hex, count(*) AS occ FROM (SELECT *, unnest(tags) AS name FROM eview WHERE seq % 17 <> 1)
-      WHERE name NOT IN (SELECT name FROM active) GROUP BY 1, 2),
-t AS (SELECT name, sum(occ) AS n FROM s GROUP BY 1)""", """
-SELECT name, author_hex, 1 AS posts_seen FROM s JOIN t USING (name) QUALIFY row_number() OVER (ORDER BY n DESC, name, author_hex) <= 60"""))
+@check("stream_candidate_pool", q(EV, TAG, _ARRIVALS, """
+batches AS (SELECT event_id, batch FROM arrival UNION SELECT event_id, least(batch + 1, 4) FROM arrival WHERE event_id % 20 = 1)""", """
+SELECT name, author_hex, count(DISTINCT batch) AS posts_seen
+FROM (SELECT *, unnest(tags) AS name FROM epost WHERE seq % 17 <> 1 AND len(servers) > 0) p JOIN batches b ON b.event_id = p.seq
+WHERE name NOT IN (SELECT name FROM active) GROUP BY 1, 2"""))
 def _(spark, sf):
     rows = jobs.current_candidates(spark, collected(spark, sf))
     return rows.select("name", X.hash_hex(F.col("author_hash")).alias("author_hex"), "posts_seen")
@@ -97,7 +125,7 @@ SELECT r.host, f.consecutive_failures, f.backoff_until, coalesce(f.last_ok_at, r
   coalesce(f.capability, r.capability) AS capability FROM registry r JOIN folded f USING (host)"""))
 def _(spark, sf):
     root = fresh_folder(spark, "health")
-    polls = B.polls_of(B.event_rows(event_stream(spark, sf)))
+    polls = B.polls_of(B.event_rows(event_stream(spark, sf, messy=False)))  # polls come in order
     jobs.start_health(polls, f"{root}/tables", f"{root}/state", B.registry(spark, sf)).awaitTermination()
     return jobs.latest_health(spark, f"{root}/tables").select(
         "host", "consecutive_failures", "backoff_until", "last_ok_at", "capability")
