@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tagtide import constants as C
 from tagtide.operators.merges import upsert_observations
 from tagtide.session import fresh_folder
 
@@ -31,25 +34,85 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def merge_observations_into(spark: SparkSession, batch: DataFrame, path: str) -> None:
+def _files(spark: SparkSession, path: str):
+    """The store's own file system, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def _rewrite_days(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Replaces the days that the rows lie in, from a copy in the shared folder that goes afterwards."""
+    staged = fresh_folder(spark, "observations")
+    rows.write.parquet(staged)
+    write_observations(spark.read.parquet(staged).drop("created_date"), path)
+    _remove(spark, staged)
+
+
+def merge_observations_into(
+    spark: SparkSession, batch: DataFrame, path: str, horizon_hours: int = C.OBSERVATION_HOURS
+) -> None:
     """Merges a batch into the stored table, rewriting only the days it may touch.
 
     A known post keeps its first time of creation, so its stored day is looked
-    up by key rather than taken from the batch. The merged days are staged in
-    the shared folder first and then swapped in whole; repeating the batch gives
+    up by key; a view may give another time by ``horizon_hours`` at most, so only
+    the days that far around the batch's own are read. Repeating the batch gives
     the same table.
     """
-    staged = fresh_folder(spark, "observations")
+    staged = fresh_folder(spark, "batch")
+    with_day(batch).write.parquet(staged)
+    batch = spark.read.parquet(staged)
+    bounds = batch.agg(F.min("created_at"), F.max("created_at")).first()
+    if bounds[0] is None:
+        _remove(spark, staged)
+        return
+    day = lambda at: F.to_date(F.timestamp_seconds(F.lit(at)))
+    near = read_observations(spark, path).filter(F.col("created_date").between(
+        day(bounds[0] - horizon_hours * C.HOUR), day(bounds[1] + horizon_hours * C.HOUR)))
+    days = batch.select("created_date").unionByName(
+        near.join(batch.select("tag_id", "uri"), ["tag_id", "uri"], "left_semi").select("created_date")).distinct()
+    touched = near.join(days, "created_date", "left_semi").drop("created_date")
+    _rewrite_days(spark, with_day(upsert_observations(touched, batch.drop("created_date"))), path)
+    _remove(spark, staged)
+
+
+def expire_observations(spark: SparkSession, path: str, now: int, hours: int = C.OBSERVATION_HOURS) -> None:
+    """Takes posts older than ``hours`` out of the store: whole days by their folder, the edge day by a rewrite."""
+    cutoff = now - hours * C.HOUR
+    edge = f"created_date={datetime.fromtimestamp(cutoff, UTC):%Y-%m-%d}"
+    files, at = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    for name in names:
+        if name.startswith("created_date=") and name < edge:
+            _remove(spark, f"{path}/{name}")
+    if edge in names:
+        rows = read_observations(spark, path).filter(F.col("created_date") == edge.split("=")[1])
+        fresh = rows.filter(F.col("created_at") >= cutoff)
+        if fresh.isEmpty():
+            _remove(spark, f"{path}/{edge}")
+        elif not rows.filter(F.col("created_at") < cutoff).isEmpty():
+            _rewrite_days(spark, fresh, path)
+
+
+def remove_from_store(spark: SparkSession, path: str, gone: DataFrame, key: str) -> None:
+    """Takes posts out of the store whose ``key`` (author_hash or origin_host) is listed; rewrites only days that hold one."""
     stored = read_observations(spark, path)
-    keys = batch.select("tag_id", "uri")
-    days = (
-        with_day(batch).select("created_date")
-        .unionByName(stored.join(keys, ["tag_id", "uri"], "left_semi").select("created_date"))
-        .distinct()
-    )
-    touched = stored.join(days, "created_date", "left_semi").drop("created_date")
-    with_day(upsert_observations(touched, batch)).write.parquet(staged)
-    write_observations(spark.read.parquet(staged).drop("created_date"), path)
+    held = stored.join(gone.select(key), key, "left_semi").select("created_date").distinct()
+    days = [row["created_date"] for row in held.orderBy("created_date").collect()]  # days, not posts
+    if not days:
+        return
+    rows = stored.filter(F.col("created_date").isin(days))
+    kept = rows.join(gone.select(key), key, "left_anti").select(*rows.columns)
+    left = {row["created_date"] for row in kept.select("created_date").distinct().collect()}
+    if left:
+        _rewrite_days(spark, kept, path)
+    for day in days:
+        if day not in left:
+            _remove(spark, f"{path}/created_date={day}")
 
 
 def scan_registry(registry: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tagtide.functions.numbers import bit_mask
 from tagtide.operators import health, ingest, merges
 from tagtide.plans import maintenance
 from tagtide.session import fresh_folder
-from tagtide.sources import raw
+from tagtide.sources import raw, tables
 
 WATERMARK = f"{C.OBSERVATION_HOURS} hours"
 
@@ -81,16 +81,25 @@ def credit_stream(posts: DataFrame, tags: DataFrame, registry: DataFrame) -> Dat
 
 
 def write_change(change: DataFrame, root: str, table: str, batch_id: int) -> None:
-    change.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
+    """Writes a batch's own folder; rows with a time of creation lie in it by day, so that time windows prune."""
+    writer = (tables.with_day(change).write.partitionBy("created_date") if "created_at" in change.columns else change.write)
+    # The whole folder is replaced, whatever the session's mode of overwriting partitions is.
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/{table}/batch={batch_id}")
 
 
 def read_changes(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}")
 
 
-def current_observations(spark: SparkSession, root: str) -> DataFrame:
-    """The stored observations: all changes folded, the earliest view's attributes kept."""
+def current_observations(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
+    """The stored observations: all changes folded, the earliest view's attributes kept.
+
+    ``since`` leaves out posts created before; their days are not read.
+    """
     changes = read_changes(spark, root, "observation").withColumnRenamed("seen_mask", "mask")
+    if since is not None:
+        changes = changes.filter((F.col("created_date") >= F.to_date(F.timestamp_seconds(F.lit(since)))) & (F.col("created_at") >= since))
+    changes = changes.drop("created_date")
     return ingest.merge_sightings(changes, ["batch", "observed_at"])
 
 
@@ -104,8 +113,12 @@ def current_candidates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, table: str, fold: Callable[[SparkSession, str], DataFrame], into: str) -> None:
-    """Writes the folded table as the single first batch of a new root, to be read from then on."""
-    write_change(fold(spark, root), into, table, 0)
+    """Writes the folded table as one batch of a new root, to be read from then on.
+
+    It takes the number of the last batch it holds, so later batches follow it.
+    """
+    last = read_changes(spark, root, table).agg(F.max("batch")).first()[0]
+    write_change(fold(spark, root), into, table, last or 0)
 
 
 def collect_batch(
@@ -195,10 +208,10 @@ def latest_health(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sweep(
-    tables: dict[str, DataFrame], registry: DataFrame, now: int, root: str, run_id: int
+    stored: dict[str, DataFrame], registry: DataFrame, now: int, root: str, run_id: int
 ) -> DataFrame:
     """The hourly retention run: writes the kept rows of each table and returns the counts."""
-    kept, report = merges.retention_sweep(tables, registry, now)
+    kept, report = merges.retention_sweep(stored, registry, now)
     for name, rows in kept.items():
         write_change(rows, root, name, run_id)
     return report

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tagtide.functions import numbers as N, text as X
 from tagtide.functions.arrays import unfold
 from tagtide.operators import ingest, merges, polling, trust
-from tagtide.sources import raw
+from tagtide.session import fresh_folder
+from tagtide.sources import raw, tables
 from workload import bindings as B
 from workload.catalog import check
 from workload.sql import EV, NOW, OBS, POLLS, TAG, TRADE, WORDS, q
@@ -260,6 +261,33 @@ def _(spark, sf):
     return merged.select("tag_id", "uri", "observed_at", "seen_mask")
 
 
+@check("stored_merge", q(OBS, """
+half AS (SELECT tag_id, uri, min(observed_at) FILTER (WHERE s % 2 = 0) AS even_at, min(observed_at) AS any_at,
+                any_value(created_at) AS created_at, bit_or(CAST(1 AS BIGINT) << s) AS seen_mask FROM credited GROUP BY tag_id, uri)""", """
+SELECT tag_id, uri, created_at, coalesce(even_at, any_at) AS observed_at, seen_mask FROM half"""))
+def _(spark, sf):
+    first, second = split_by_server(spark, sf)
+    path = fresh_folder(spark, "stored")
+    tables.write_observations(first, path)
+    for _ in range(2):  # a repeated batch changes nothing
+        tables.merge_observations_into(spark, second, path)
+    return tables.read_observations(spark, path).select("tag_id", "uri", "created_at", "observed_at", "seen_mask")
+
+
+@check("stored_retention", q(OBS, POLLS, f"""
+sup AS (SELECT DISTINCT substr(sha256('test-salt u' || doc_id), 1, 32) AS author_hex FROM labels WHERE quality = 0)""", f"""
+SELECT tag_id, uri, created_at, seen_mask FROM obs WHERE created_at >= {NOW} - 25 * 3600 - 7 * 86400
+  AND origin_host NOT IN (SELECT host FROM registry WHERE opt_out) AND author_hex NOT IN (SELECT author_hex FROM sup)"""))
+def _(spark, sf):
+    path = fresh_folder(spark, "stored")
+    tables.write_observations(B.observed(spark, sf), path)
+    tables.expire_observations(spark, path, B.NOW, hours=25 + 7 * 24)
+    out = B.registry(spark, sf).filter("opt_out").select(F.col("host").alias("origin_host"))
+    tables.remove_from_store(spark, path, out, "origin_host")
+    tables.remove_from_store(spark, path, suppressed_authors(spark, sf), "author_hash")
+    return tables.read_observations(spark, path).select("tag_id", "uri", "created_at", "seen_mask")
+
+
 def batches_of_words(spark, sf):
     rows = B.word_sightings(spark, sf)
     odd = F.col("seq") % 2 == 1

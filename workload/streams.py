@@ -113,6 +113,18 @@ def _(spark, sf):
     return rows.select("name", X.hash_hex(F.col("author_hash")).alias("author_hex"), "posts_seen")
 
 
+@check("compacted_candidates", q(EV, TAG, _ARRIVALS, """
+batches AS (SELECT event_id, batch FROM arrival UNION SELECT event_id, least(batch + 1, 4) FROM arrival WHERE event_id % 20 = 1)""", """
+SELECT name, author_hex, count(DISTINCT batch) AS posts_seen
+FROM (SELECT *, unnest(tags) AS name FROM epost WHERE seq % 17 <> 1 AND len(servers) > 0) p JOIN batches b ON b.event_id = p.seq
+WHERE name NOT IN (SELECT name FROM active) GROUP BY 1, 2"""))
+def _(spark, sf):
+    root = collected(spark, sf)
+    jobs.compact(spark, root, "tag_candidate", jobs.current_candidates, f"{root}-compact")
+    rows = jobs.current_candidates(spark, f"{root}-compact")
+    return rows.select("name", X.hash_hex(F.col("author_hash")).alias("author_hex"), "posts_seen")
+
+
 @check("stream_rollups", q(_ACTIVE, """
 SELECT tag_id, created_at // 60 AS minute, count(*) AS posts, 9 AS instances_reporting FROM orig
 WHERE CAST(regexp_extract(uri, '([0-9]+)$', 1) AS BIGINT) % 17 <> 1 GROUP BY 1, 2"""))
