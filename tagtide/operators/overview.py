@@ -14,34 +14,47 @@ def active_tags(tags: DataFrame) -> DataFrame:
     return tags.filter(F.col("tracked") & ~F.col("blocked"))
 
 
-def tag_overview(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
-    """Day and hour figures of every tracked tag.
+def _by_author_and_origin(rows: DataFrame, **figures) -> DataFrame:
+    """Sums of figures for each (tag, author) and, as rows of their own, each (tag, origin), from one reading.
 
-    Authors and origins are reduced on their own keys, (tag, author) and
-    (tag, origin), so no row is multiplied to serve several distinct counts and
-    a dominant tag is spread over its authors.
+    Posts are first reduced to (tag, author, origin); only these rows are set out
+    twice, so a dominant tag is spread over its authors and posts are read once.
     """
+    names = list(figures)
+    reduced = rows.groupBy("tag_id", "author_hash", "origin_host").agg(*(column.alias(name) for name, column in figures.items()))
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_author"), F.col("author_hash").alias("key"), *names),
+        F.struct(F.lit(False).alias("is_author"), F.col("origin_host").cast("binary").alias("key"), *names),
+    )
+    return (
+        reduced.select("tag_id", F.explode(sides).alias("s")).select("tag_id", "s.*")
+        .groupBy("tag_id", "is_author", "key").agg(*(F.sum(name).alias(name) for name in names))
+    )
+
+
+def _authors(condition=None):
+    kept = F.col("is_author") if condition is None else F.col("is_author") & condition
+    return F.count_if(kept)
+
+
+def _of_authors(name: str):
+    return F.coalesce(F.sum(F.when(F.col("is_author"), F.col(name))), F.lit(0))
+
+
+def tag_overview(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
+    """Day and hour figures of every tracked tag."""
     day, hour, before = now - C.DAY, now - C.HOUR, now - 2 * C.HOUR
-    rows = originals(observed, day)
     created = F.col("created_at")
-    authors = (
-        rows.groupBy("tag_id", "author_hash").agg(
-            F.count("*").alias("_posts"),
-            F.count_if(created >= hour).alias("_last"),
-            F.count_if((created >= before) & (created < hour)).alias("_prev"),
-        )
-        .groupBy("tag_id").agg(
-            F.sum("_posts").alias("posts_24h"), F.count("*").alias("authors_24h"),
-            F.sum("_last").alias("posts_1h"), F.count_if(F.col("_last") > 0).alias("authors_1h"),
-            F.count_if(F.col("_prev") > 0).alias("authors_prev_1h"),
-        )
-    )
-    origins = (
-        rows.select("tag_id", "origin_host").distinct()
-        .groupBy("tag_id").agg(F.count("*").alias("origin_servers_24h"))
+    sides = _by_author_and_origin(
+        originals(observed, day), _posts=F.count("*"), _last=F.count_if(created >= hour),
+        _prev=F.count_if((created >= before) & (created < hour)))
+    figures = sides.groupBy("tag_id").agg(
+        _of_authors("_posts").alias("posts_24h"), _authors().alias("authors_24h"), _of_authors("_last").alias("posts_1h"),
+        _authors(F.col("_last") > 0).alias("authors_1h"), _authors(F.col("_prev") > 0).alias("authors_prev_1h"),
+        F.count_if(~F.col("is_author")).alias("origin_servers_24h"),
     )
     kept = active_tags(tags).select("id", "name", "display", "tier", "first_seen_at", "last_query_at")
-    return zero_filled(kept, authors.join(origins, "tag_id", "left"))
+    return zero_filled(kept, figures)
 
 
 def tag_overview_expanded(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
@@ -60,15 +73,10 @@ def tag_overview_expanded(observed: DataFrame, tags: DataFrame, now: int) -> Dat
 
 
 def tracked_breadth(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
-    rows = originals(observed, now - C.DAY)
-    authors = (
-        rows.groupBy("tag_id", "author_hash").agg(F.count("*").alias("_posts"))
-        .groupBy("tag_id").agg(F.sum("_posts").alias("posts_24h"), F.count("*").alias("authors_24h"))
-    )
-    origins = (
-        rows.select("tag_id", "origin_host").distinct().groupBy("tag_id").agg(F.count("*").alias("origin_servers_24h"))
-    )
-    return zero_filled(active_tags(tags).select("id", "name", "last_query_at"), authors.join(origins, "tag_id"))
+    figures = _by_author_and_origin(originals(observed, now - C.DAY), _posts=F.count("*")).groupBy("tag_id").agg(
+        _of_authors("_posts").alias("posts_24h"), _authors().alias("authors_24h"),
+        F.count_if(~F.col("is_author")).alias("origin_servers_24h"))
+    return zero_filled(active_tags(tags).select("id", "name", "last_query_at"), figures)
 
 
 def tracked_for_retirement(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:
@@ -82,21 +90,14 @@ def tracked_activity(observed: DataFrame, tags: DataFrame, now: int) -> DataFram
 
     ``posts_any_24h`` includes boosts, the other figures are of originals.
     """
-    rows = between(observed, now - C.DAY)
-    original = ~F.col("is_boost")
-    authors = (
-        rows.groupBy("tag_id", "author_hash").agg(F.count("*").alias("_any"), F.count_if(original).alias("_own"))
-        .groupBy("tag_id").agg(
-            F.sum("_any").alias("posts_any_24h"), F.sum("_own").alias("posts_24h"),
-            F.count_if(F.col("_own") > 0).alias("authors_24h"),
-        )
-    )
-    origins = (
-        rows.filter(original).select("tag_id", "origin_host").distinct()
-        .groupBy("tag_id").agg(F.count("*").alias("origin_servers_24h"))
-    )
+    sides = _by_author_and_origin(
+        between(observed, now - C.DAY), _any=F.count("*"), _own=F.count_if(~F.col("is_boost")))
+    figures = sides.groupBy("tag_id").agg(
+        _of_authors("_any").alias("posts_any_24h"), _of_authors("_own").alias("posts_24h"),
+        _authors(F.col("_own") > 0).alias("authors_24h"),
+        F.count_if(~F.col("is_author") & (F.col("_own") > 0)).alias("origin_servers_24h"))
     kept = active_tags(tags).select("id", "name", "last_query_at", "first_seen_at")
-    return zero_filled(kept, authors.join(origins, "tag_id", "left"))
+    return zero_filled(kept, figures)
 
 
 def posts_per_hour(observed: DataFrame, tags: DataFrame, now: int) -> DataFrame:

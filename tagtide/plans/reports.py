@@ -61,7 +61,9 @@ def tag_report(
         ).alias("origins")
     )
     unique = by_origin.groupBy("tag_id").agg(F.count("*").alias("unique_origin_servers"))
-    counters = history.groupBy("tag_id").agg(
+    # Only tags without a post show their servers' counters, so only their history is gathered.
+    silent = by_window.filter((F.col("seconds") == longest) & (F.col("posts_observed") == 0)).select(F.col("id").alias("tag_id"))
+    counters = history.join(silent, "tag_id", "left_semi").groupBy("tag_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("day")).alias("k"), "host", "day", "uses", "accounts"))).alias("_days")
     )
     joined = tags.join(per_tag, "id")
