@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import id_and_text
 from tagtide.llm.words import LOWER, Words, slices
 
-#: The bound of the sample that the classifier is fitted on: labelled rows with the smallest hashes of their ids.
+#: The bound of the sample that the classifier is fitted on: labelled rows with the smallest hashes of their ids
+#: (of several labels of one document, the largest).
 SAMPLE = 4096
 DIMENSIONS, NEIGHBOURS = 32, 15
 HASHED, SHAPES = 2048, 1024  # features of words and of shapes
@@ -97,8 +99,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple:
     """(idf, directions, unit vectors of the sample, their labels)."""
     n, total = document_frequencies(docs)
     idf = np.log((total + 1) / (n + 1)) + 1
-    rows = docs.where(~held_out(F.col("doc_id"))).join(labels.where(F.col(label).isNotNull()).select("doc_id", label), "doc_id")
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("text").cast("binary").alias("text"), F.col(label).cast("int").alias("y"))
+    rows = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y").orderBy("h", "doc_id").limit(SAMPLE)
+    # SAMPLE rows at most, so texts stay where they are.
+    sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "y")
 
     def vectors(batches):
         for batch in batches:
@@ -111,9 +115,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple:
                      pa.array(np.split(feature.astype(np.int32), cut), pa.list_(pa.int32())), pa.array(np.split(value, cut), pa.list_(pa.float32()))],
                     ["h", "doc_id", "y", "at", "value"])
 
-    chosen = sample.select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(SAMPLE)
-    some = sample.join(chosen, ["h", "doc_id"], "left_semi").mapInArrow(
-        vectors, "h long, doc_id long, y int, at array<int>, value array<float>")
+    some = sample.mapInArrow(vectors, "h long, doc_id long, y int, at array<int>, value array<float>")
     found = some.orderBy("h", "doc_id", "y").limit(SAMPLE).toPandas()
     matrix = np.zeros((len(found), FEATURES), np.float32)
     for k, (at, value) in enumerate(zip(found["at"], found["value"], strict=True)):
