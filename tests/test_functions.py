@@ -159,3 +159,14 @@ def test_reading_shape(one, standing, authors, servers, posts_ratio, want):
     got = one(R.reading_shape(F.col("s"), F.col("a"), per_server, F.col("r")), "s STRING, a INT, v INT, r DOUBLE",
               standing, authors, servers, posts_ratio)
     assert got == want
+
+
+def test_masks_have_63_bits(one):
+    from pyspark.errors import PySparkException
+
+    from tagtide.functions.numbers import bit_mask
+
+    assert [one(bit_mask(F.col("b")), "b INT", b) for b in (0, 62, None)] == [1, 1 << 62, 0]
+    for bit in (63, 64, -1):
+        with pytest.raises(PySparkException, match="no mask has bit"):
+            one(bit_mask(F.col("b")), "b INT", bit)

@@ -159,3 +159,44 @@ def test_collection_stream_in_several_batches_and_replayed(spark, folder):
     jobs.compact(spark, root, "observation", jobs.current_observations, f"{folder}/compacted")
     folded = {(r["uri"][-1], r["seen_mask"]) for r in jobs.current_observations(spark, f"{folder}/compacted").collect()}
     assert folded == posts
+
+
+def test_expiry_drops_days_and_rewrites_the_edge(spark, folder):
+    path, day = f"{folder}/observation", 86_400
+    rows = [sighting(uri=f"u{k}", created=k * day + 500) for k in range(5)] + [sighting(uri="early", created=2 * day + 10, author=b"b" * 16)]
+    tables.write_observations(observed(spark, *rows), path)
+    kept = set(os.listdir(f"{path}/created_date=1970-01-04"))
+    tables.expire_observations(spark, path, 2 * day + 400 + 3600, hours=1)
+    assert {r["uri"] for r in tables.read_observations(spark, path).collect()} == {"u2", "u3", "u4"}
+    assert kept == set(os.listdir(f"{path}/created_date=1970-01-04")) and not os.path.exists(f"{path}/created_date=1970-01-01")
+    tables.remove_from_store(spark, path, spark.createDataFrame([("u.example",)], "origin_host string"), "origin_host")
+    tables.remove_from_store(spark, path, spark.createDataFrame([(b"a" * 16,)], "author_hash binary"), "author_hash")
+    assert [n for n in os.listdir(path) if n.startswith("created_date")] == []
+
+
+def test_compaction_keeps_counts_order_and_days(spark, folder):
+    pool = "name string, author_hash binary, first_seen long, origin_host string, tags_on_post int, posts_seen long"
+    for batch, first in ((3, 10), (4, 20), (5, 30)):
+        jobs.write_change(spark.createDataFrame([("n", b"a", first, f"o{batch}", 1, 1)], pool), folder, "tag_candidate", batch)
+        jobs.write_change(observed(spark, sighting(mask=1 << batch, observed=86_400 + first)), folder, "observation", batch)
+    into = folder + "/compact"
+    jobs.compact(spark, folder, "tag_candidate", jobs.current_candidates, into)
+    jobs.compact(spark, folder, "observation", jobs.current_observations, into)
+    jobs.write_change(spark.createDataFrame([("n", b"a", 40, "o6", 1, 1)], pool), into, "tag_candidate", 6)
+    row = jobs.current_candidates(spark, into).first()
+    assert (row["posts_seen"], row["first_seen"], row["origin_host"]) == (4, 10, "o3")
+    assert os.path.exists(f"{into}/observation/batch=5/created_date=1970-01-02")
+    assert jobs.current_observations(spark, into, since=86_400).first()["seen_mask"] == 8 + 16 + 32
+    assert jobs.current_observations(spark, into, since=10 * 86_400).count() == 0
+
+
+def test_every_candidate_is_written_unless_the_caller_sets_an_allowance(spark, folder):
+    schema = "host string, uri string, url string, origin_host string, author_hash binary, created_at long, observed_at long, " \
+             "is_boost boolean, sensitive boolean, language string, tags array<string>, skip_reason string, seq long"
+    posts = spark.createDataFrame([("h", f"u{k}", None, "o", bytes([k]), 10, 20, False, False, None, [f"n{k}"], None, k) for k in range(100)], schema)
+    tags = spark.createDataFrame([], "id long, name string, tracked boolean, blocked boolean")
+    registry = spark.createDataFrame([("h", 1)], "host string, bit int")
+    jobs.collect_batch(posts, 0, folder + "/all", tags, registry, SALT)
+    jobs.collect_batch(posts, 0, folder + "/some", tags, registry, SALT, candidate_limit=7)
+    assert jobs.current_candidates(spark, folder + "/all").count() == 100
+    assert jobs.current_candidates(spark, folder + "/some").count() == 7

@@ -1,5 +1,6 @@
 from types import SimpleNamespace as N
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagtide.session import fresh_folder, settled, shared_folder
@@ -19,9 +20,9 @@ class Option:
         return self.value
 
 
-def stub(conf, current):
+def stub(conf, current, master="local[2]"):
     made = []
-    context = N(_jsc=N(sc=lambda: N(getCheckpointDir=lambda: Option(current))), setCheckpointDir=made.append)
+    context = N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: Option(current))), setCheckpointDir=made.append)
     return N(conf=N(get=lambda key, default: conf), sparkContext=context), made
 
 
@@ -39,6 +40,12 @@ def test_a_folder_is_made_only_where_none_is_named():
     assert [shared_folder(session)] == made
 
 
+def test_a_cluster_has_to_name_its_folder():
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(stub(None, None, master)[0])
+
+
 def test_settled_rows_do_not_go_back_to_their_source(spark):
     df = settled(spark.range(5).withColumn("x", F.rand()))
     assert df.collect() == df.collect()

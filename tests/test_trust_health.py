@@ -62,7 +62,7 @@ def test_last_per_batch_keeps_only_the_final_outcome(spark):
     ("User-agent: zz\nDisallow: /\nUser-agent: *\nDisallow: /x", True), ("# User-agent: *\n# Disallow: /", True),
     ("user-agent: *\ndisallow: / # all", False), ("<html>Disallow: /</html>", True), ("Disallow: /\nUser-agent: *\nAllow: /x", False),
     ("User-agent: *\r\nCrawl-delay: 5\r\nDisallow: /api", False), ("nonsense", True),
-    ("User-agent: *\nDisallow: /\n" + "#" * 100_000, True),
+    ("User-agent: *\nDisallow: /\n" + "#" * 100_000, False),
 ])
 def test_robots(one, body, permitted):
     assert one(robots.robots_permit(F.col("b")), "b STRING", body) is permitted
@@ -140,3 +140,26 @@ def test_shape_features_stay_in_the_frame(spark):
     assert got[2]["above_threshold"] and not got[1]["above_threshold"]
     for r in got.values():
         assert all(0 <= r[c] <= 1 for c in ("authors_share", "concentration_share", "volume_share", "threshold_share"))
+
+
+def test_long_robots_files_are_judged_by_what_they_say(one):
+    import time
+
+    body = "".join(f"User-agent: bot{k}\nDisallow: /x{k}\n" for k in range(4000)) + "User-agent: *\nDisallow: /api/\n"
+    assert len(body) > 100_000
+    start = time.perf_counter()
+    assert one(robots.robots_permit(F.col("b")), "b STRING", body) is False
+    assert time.perf_counter() - start < 20  # some tens of lines took minutes when work grew with their fourth power
+    assert one(robots.robots_permit(F.col("b"), max_chars=100_000), "b STRING", body) is True
+
+
+def test_hosts_without_a_bit_are_named(spark):
+    from tagtide.operators import merges
+
+    schema = ("host string, software string, version string, capability string, bit int, opt_out boolean, opt_out_reason string, "
+              "probed_at long, last_ok_at long, consecutive_failures int, backoff_until long, added_at long")
+    registry = spark.createDataFrame([("a", None, None, "timeline", 0, False, None, None, None, 0, None, 1)], schema)
+    hosts = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "host string, seq long")
+    after = merges.add_servers(registry, hosts, 5, width=3)
+    assert {r["host"]: r["bit"] for r in after.collect()} == {"a": 0, "b": 1, "c": 2}
+    assert [tuple(r) for r in merges.rejected_servers(registry, hosts, after).collect()] == [("d", "no_free_bit")]
