@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.llm.columns import DOC, carried, unpacked
+from tagtide.llm.columns import DOC, keyed, unpacked
 from tagtide.llm.hostrules import let, words_of
 from tagtide.llm.staging import staged
 
@@ -29,11 +29,18 @@ MIN_WORDS = 50
 STRIDE = 64  # lines compared at once when a match is extended
 
 
+def _n_words(trimmed: Column) -> Column:
+    """Words of a line without white space at its ends; by its spaces alone where they are single."""
+    apart = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
+    odd = F.rlike(trimmed, F.lit("[\\x09\\x0B-\\x0D]|\\x20\\x20"))
+    return F.when(trimmed == "", 0).when(odd, F.size(words_of(trimmed))).otherwise(apart)
+
+
 def _units(text: Column) -> Column:
     """Of each line with a word: its number, hash and number of words."""
-    trimmed = lambda line: F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
-    lines = F.transform(F.split(text, "\n"), lambda line, k: let(trimmed(line), lambda x: F.struct(
-        k.alias("line"), F.xxhash64(x).alias("h"), F.size(words_of(x)).alias("w"))))
+    blank = F.lit(" \t\x0b\x0c\r")
+    lines = F.transform(F.split(text, "\n"), lambda line, k: let(F.btrim(line, blank), lambda x: F.struct(
+        k.alias("line"), F.xxhash64(x).alias("h"), _n_words(x).alias("w"))))
     return F.filter(lines, lambda x: x["w"] > 0)
 
 
@@ -88,7 +95,7 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows as ``_doc`` with text (without repeated runs), n_lines and n_deleted."""
-    rows = staged(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "lines")
+    rows = keyed(docs)
     units = staged(rows.select("row", "doc_id", _units(F.col("text")).alias("units")).where("size(units) > 0"), "units")
     runs = repeated_runs(units, min_words).withColumnRenamed("lines", "cut")
 
@@ -105,12 +112,14 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         gone = let(merged(F.col("cut")), lambda m: F.flatten(F.transform(m, lambda s: F.sequence(s["a"], s["b"]))))
         return let(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda keep: F.transform(keep, lambda k: F.get(lines, k)))
 
-    whole = F.split(F.col("text"), "\n")
-    left = F.when(F.col("cut").isNull(), whole).otherwise(let(whole, remaining))
-    out = rows.join(runs, "row", "left").withColumn("left", left)
+    left = let(F.split(F.col("text"), "\n"), remaining)
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    uncut = F.col("cut").isNull()
+    out = rows.join(runs, "row", "left").withColumn("left", F.when(~uncut, left))
     return out.select(
-        DOC, F.array_join("left", "\n").alias("text"), F.coalesce(F.size(whole), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(whole) - F.size("left"), F.lit(0)).cast("long").alias("n_deleted"))
+        DOC, F.when(uncut, F.col("text")).otherwise(F.array_join("left", "\n")).alias("text"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(uncut, 0).otherwise(n_lines - F.size("left")).cast("long").alias("n_deleted"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
