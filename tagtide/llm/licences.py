@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagtide.llm.columns import DOC, carried
+
 # Equivalent spellings, as licence matching guidelines list them; the right side is kept.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact",
@@ -84,14 +86,12 @@ def canonical(text: Column) -> Column:
     return F.trim(F.when(F.rlike(words, F.lit(any_of)), spelled).otherwise(words))
 
 
-def digested(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words and digest of the canonical form; no digest where it has no words."""
-    form = canonical(F.col(text))
-    out = docs.withColumn("_form", form)
-    return out.withColumns({
-        "n_words": F.when(F.col("_form") == "", 0).otherwise(F.length("_form") - F.length(F.replace("_form", F.lit(" "), F.lit(""))) + 1).cast("long"),
-        "digest": F.when(F.col("_form") != "", F.sha2("_form", 256)),
-    }).drop("_form")
+def digested(docs: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """The rows (or their ``own`` columns) as ``_doc`` with n_words and digest of the canonical form; no digest where it has no words."""
+    form = F.col("form")
+    words = F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1
+    return carried(docs, "text", own=own).withColumn("form", canonical(F.col("text"))).select(
+        DOC, F.when(form == "", 0).otherwise(words).cast("long").alias("n_words"), F.when(form != "", F.sha2(form, 256)).alias("digest"))
 
 
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) ->
     return spark.createDataFrame(list((texts or KNOWN).items()), "licence string, text string")
 
 
-def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Every document with n_words, digest and licence (null: none that is known)."""
-    table = digested(known).where("digest IS NOT NULL").groupBy("digest").agg(F.min("licence").alias("licence"))
-    return digested(docs).join(table, "digest", "left")
+def scanned(docs: DataFrame, known: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """Every document, or its ``own`` columns, as ``_doc`` with n_words, digest and licence (null: none that is known)."""
+    table = digested(known, ["licence"]).where("digest IS NOT NULL").groupBy("digest").agg(F.min(f"{DOC}.licence").alias("licence"))
+    return digested(docs, own).join(table, "digest", "left")

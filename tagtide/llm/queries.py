@@ -191,4 +191,4 @@ FROM d LEFT JOIN k ON d.f = k.f AND d.f <> ''"""
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.licences import known_licences, scanned
 
-    return scanned(documents(spark, sf).select("doc_id", "text"), known_licences(spark)).select("doc_id", "n_words", "digest", "licence")
+    return scanned(documents(spark, sf), known_licences(spark), ["doc_id"]).select("_doc.doc_id", "n_words", "digest", "licence")

@@ -105,7 +105,8 @@ def test_licences_match_whole_texts(spark, make_docs):
         mit, "Copyright (c) 2019 Some One\n\n" + mit.upper().replace(",", " ;") + "\n(C) 2020 Other", mit + " More.", mit.replace("sublicense", "sub-licence"),
         "released under the mit licence", None, "", "Copyright 2020 X", "Copyright notice rules apply", "LICENSED UNDER THE APACHE LICENCE - VERSION 2.0",
     ]
-    got = {r["doc_id"]: r for r in licences.scanned(make_docs(texts).drop("n_words"), licences.known_licences(spark)).collect()}
+    docs = make_docs(texts).withColumnRenamed("text_md5", "licence").withColumnRenamed("h", "digest")
+    got = {r[DOC]["doc_id"]: r for r in licences.scanned(docs, licences.known_licences(spark)).collect()}
     assert [got[k]["licence"] for k in range(10)] == [
         "MIT", "MIT", None, "MIT", "MIT-notice", None, None, None, None, "Apache-2.0-notice"]
     assert [got[k]["n_words"] for k in (5, 6, 7, 8)] == [0, 0, 0, 4] and got[7]["digest"] is None
