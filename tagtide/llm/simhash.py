@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.columns import carried, id_and_text, unpacked
+from tagtide.llm.columns import id_and_text, keyed, unpacked
 from tagtide.llm.components import components
 from tagtide.llm.staging import staged
 
@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def representatives(docs: DataFrame, size: int = 5) -> DataFrame:
     """Of each class of near copies the row with the smallest doc_id (a null one last), with its own columns."""
-    rows = staged(carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = keyed(docs)
     found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("row"), "component_id")
     first = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
-    return rows.join(first, "row", "left_semi").select(*unpacked(docs.columns))
+    return rows.join(first, "row", "left_semi").select(*unpacked(docs.columns, text=F.col("text")))
