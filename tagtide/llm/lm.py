@@ -33,12 +33,12 @@ from tagtide.llm.staging import staged
 from tagtide.llm.words import KeyTable, ragged, slices
 
 HEAD, WIDTH, TAILS = 1024, 32, 32
-HIDDEN, LANES, STEPS = 16, 256, 32
+HIDDEN, LANES, STEPS = 16, 512, 32
 END = HEAD + TAILS  # tokens: head words, tail classes, the end
 CLASSES = HEAD // WIDTH + TAILS + 1
 #: Words whose counts are broadcast (16 bytes each); the rest are joined.
 COMMON = 1 << 18
-ROUNDS = ((0, 1, 0.02), (1, 2, 0.015), (2, 4, 0.01), (4, 8, 0.006))  # eighths of the documents, and the step's size
+ROUNDS = ((0, 1, 0.03), (1, 2, 0.025), (2, 4, 0.02), (4, 8, 0.01))  # eighths of the documents, and the step's size
 POOL = 1 << 20  # tokens dealt to lanes at once
 BLOCK = 4096
 _CLASS = np.concatenate([np.arange(HEAD) // WIDTH, HEAD // WIDTH + np.arange(TAILS + 1)])
@@ -149,10 +149,13 @@ def learned_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     return Vocabulary(keys.view(np.uint64), n, ends, tails), total, distinct
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
-    return x
+def _softmax(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials, their sums, logarithms of the chosen shares); overwrites x."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    return x, sums, picked - np.log(sums)
 
 
 def _gates(w: dict, token: np.ndarray, h: np.ndarray):
@@ -176,10 +179,9 @@ def _by_class(kind: np.ndarray):
 def log_probabilities(w: dict, h: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Natural logarithms of each token's probability from the state before it (a tail word's: of its class)."""
     kind = _CLASS[token]
-    out = _log_softmax(h @ w["classes"] + w["class_bias"])[np.arange(len(token)), kind].astype(np.float64)
+    out = _softmax(h @ w["classes"] + w["class_bias"], kind)[2].astype(np.float64)
     for k, at in _by_class(kind):
-        own = _log_softmax(h[at] @ w["words"][k] + w["word_bias"][k])
-        out[at] += own[np.arange(len(at)), token[at] % WIDTH]
+        out[at] += _softmax(h[at] @ w["words"][k] + w["word_bias"][k], token[at] % WIDTH)[2]
     return out
 
 
@@ -194,18 +196,19 @@ def window_gradient(w: dict, tokens: np.ndarray, h: np.ndarray) -> tuple[dict, n
         saved.append(rest)
     flat, token = states.reshape(n, HIDDEN), tokens.reshape(n)
     kind = _CLASS[token]
-    logs = _log_softmax(flat @ w["classes"] + w["class_bias"])
-    loss = -logs[np.arange(n), kind].sum()
-    d = np.exp(logs)
+    d, sums, logs = _softmax(flat @ w["classes"] + w["class_bias"], kind)
+    loss = -logs.sum()
+    d /= sums[:, None]
     d[np.arange(n), kind] -= 1
     g = {"classes": flat.T @ d, "class_bias": d.sum(0), "words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
     dh_all = d @ w["classes"].T
     for k, at in _by_class(kind):
-        logs = _log_softmax(flat[at] @ w["words"][k] + w["word_bias"][k])
-        loss -= logs[np.arange(len(at)), token[at] % WIDTH].sum()
-        d = np.exp(logs)
+        own = flat[at]
+        d, sums, logs = _softmax(own @ w["words"][k] + w["word_bias"][k], token[at] % WIDTH)
+        loss -= logs.sum()
+        d /= sums[:, None]
         d[np.arange(len(at)), token[at] % WIDTH] -= 1
-        g["words"][k], g["word_bias"][k] = flat[at].T @ d, d.sum(0)
+        g["words"][k], g["word_bias"][k] = own.T @ d, d.sum(0)
         dh_all[at] += d @ w["words"][k].T
     dh_all = dh_all.reshape(steps, lanes, HIDDEN)
     g["back"], g["bias"] = np.zeros_like(w["back"]), np.zeros_like(w["bias"])
@@ -368,17 +371,19 @@ def score_pool(w: dict, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = np.repeat(docs, sizes[docs])
     begins = np.cumsum(loads) - loads
     out, h = np.zeros(len(sizes)), np.zeros((LANES, HIDDEN), np.float32)
-    for t0 in range(0, int(loads[0]), STEPS):
-        states, at = [], []
-        for t in range(t0, min(t0 + STEPS, int(loads[0]))):
-            active = int(np.searchsorted(-loads, -t, "left"))  # lanes with more than t tokens
-            h = h[:active]
-            now = begins[:active] + t
-            states.append(h)
-            at.append(now)
-            h = _gates(w, stream[now], h)[0]
-        at = np.concatenate(at)
-        out += np.bincount(owner[at], log_probabilities(w, np.concatenate(states), stream[at]), len(sizes))
+    states, at, waiting = [], [], 0
+    for t in range(int(loads[0])):
+        active = int(np.searchsorted(-loads, -t, "left"))  # lanes with more than t tokens
+        h = h[:active]
+        now = begins[:active] + t
+        states.append(h)
+        at.append(now)
+        h = _gates(w, stream[now], h)[0]
+        waiting += active
+        if waiting >= LANES * STEPS or t + 1 == loads[0]:
+            places = np.concatenate(at)
+            out += np.bincount(owner[places], log_probabilities(w, np.concatenate(states), stream[places]), len(sizes))
+            states, at, waiting = [], [], 0
     return out
 
 
