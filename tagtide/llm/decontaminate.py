@@ -5,8 +5,8 @@ one every ``STEP`` words, over whole documents. Words weigh by their inverse
 frequency in the whole corpus. A passage is looked at further if the words it
 shares with any item hold ``MASS`` of its weight. Those passages, and the items'
 own (weighted up, so that their directions stay), give the latent directions: a
-randomised singular value decomposition whose two products with the matrix are
-summed in Spark, feature by feature. A passage within ``COSINE`` of an item's in
+randomised singular value decomposition whose product with the matrix is summed
+in Spark, feature by feature. A passage within ``COSINE`` of an item's in
 the latent space is a candidate.
 
 A candidate's surroundings are aligned with the whole item by their longest
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.columns import carried, id_and_text, unpacked
+from tagtide.llm.columns import carried, id_and_text, unpacked, without_text
 from tagtide.llm.words import KeyTable, Words, ragged, slices
 
 SPAN, STEP = 32, 16
-MASS, COSINE = 0.35, 0.5
+MASS, COSINE = 0.45, 0.5
 COPY, REWORDED, ANSWER = 0.8, 0.5, 3
 ITEMS = 5_000
 FEATURES, DIMENSIONS = 8192, 256
-HASHED = 1 << 20  # counters of words of the corpus
+HASHED = 1 << 18  # counters of words of the corpus
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
@@ -61,22 +61,39 @@ def passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, first, np.minimum(SPAN, bounds[text + 1] - first)
 
 
+def _summed(parts: DataFrame, kind) -> dict[int, np.ndarray]:
+    """Sums of (key, array as bytes) rows by key, array by array, so no task holds more than its keys' sums."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = np.frombuffer(data, kind).astype(np.float64)
+                sums[key] = sums[key] + value if key in sums else value
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array([v.astype(kind).tobytes() for v in sums.values()], pa.binary())], ["key", "data"])
+
+    rows = parts.repartition("key").mapInArrow(add, "key long, data binary").collect()  # a few MB: one row a key
+    return {row["key"]: np.frombuffer(row["data"], kind) for row in rows}
+
+
 def word_frequencies(docs: DataFrame) -> np.ndarray:
     """Occurrences of every word of the corpus, by hashed key."""
+    size = 4096
 
     def count(batches):
         n = np.zeros(HASHED, np.int64)
         for batch in batches:
             for _, _, words in slices(batch.column(0), change=plain):
                 n += np.bincount((words.keys % np.uint64(HASHED)).astype(np.int64), minlength=HASHED)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+        if n.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(HASHED // size)), pa.array([n[k : k + size].tobytes() for k in range(0, HASHED, size)], pa.binary())], ["key", "data"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "at long, n long")
-    n = np.zeros(HASHED, np.int64)
-    found = rows.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # HASHED rows at most
-    n[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return n
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "key long, data binary")
+    found = _summed(parts, np.int64)
+    return np.concatenate([found[k] for k in range(HASHED // size)]) if found else np.zeros(HASHED, np.int64)
 
 
 class Items:
@@ -151,41 +168,33 @@ def _product(docs: DataFrame, items: Items, basis: np.ndarray) -> tuple[np.ndarr
                     out[which] += np.add.reduceat(y[o[order]] * w[order][:, None], starts, axis=0)
         rows = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(rows, -1)), pa.array([*(out[k].tobytes() for k in rows), np.float32(n).tobytes()], pa.binary())], ["feature", "data"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for feature, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = np.frombuffer(data, np.float32).astype(np.float64)
-                sums[feature] = sums[feature] + value if feature in sums else value
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["feature", "data"])
-
-    schema = "feature long, data binary"
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(multiply, schema)
-    out, n = np.zeros_like(basis), 0
-    for row in parts.repartition("feature").mapInArrow(add, schema).toLocalIterator():  # FEATURES rows at most
-        value = np.frombuffer(row["data"], np.float32)
-        if row["feature"] < 0:
-            n = int(value[0])
-        else:
-            out[row["feature"]] = value
+            [pa.array(np.append(rows, -1)), pa.array([*(out[k].tobytes() for k in rows), np.float32(n).tobytes()], pa.binary())], ["key", "data"])
+
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(multiply, "key long, data binary")
+    found = _summed(parts, np.float32)  # FEATURES rows at most
+    n = int(found.pop(-1, np.zeros(1))[0])
+    out = np.zeros_like(basis)
+    for feature, row in found.items():
+        out[feature] = row
     return out, n
 
 
 def latent_directions(docs: DataFrame, items: Items) -> np.ndarray:
-    """Right singular vectors of the passages' matrix, the items' own passages holding half its rows' weight."""
+    """Right singular vectors of the passages' matrix, the items' own passages holding half its rows' weight.
+
+    One product with a random basis is enough: A'A is approximated from it
+    (Nystroem), and that approximation's eigenvectors are the directions.
+    """
     rank = min(DIMENSIONS, len(items.vectors), FEATURES)
-    basis = np.random.default_rng(5).standard_normal((FEATURES, rank + 16)).astype(np.float32)
-    for last in (False, True):
-        product, n = _product(docs, items, basis)
-        product += max(1.0, n / max(1, len(items.vectors))) * (items.vectors.T @ (items.vectors @ basis))
-        if last:
-            values, turn = np.linalg.eigh((basis.T @ product).astype(np.float64))
-            return (basis @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
-        basis = np.linalg.qr(product)[0].astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((FEATURES, rank + 16)))[0].astype(np.float32)
+    product, n = _product(docs, items, basis)
+    product = product.astype(np.float64) + max(1.0, n / max(1, len(items.vectors))) * (items.vectors.T @ (items.vectors @ basis))
+    shift = 1e-6 * np.linalg.norm(product)
+    product += shift * basis
+    core = basis.T @ product
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    root = product @ (turn / np.sqrt(np.maximum(values, shift * 1e-3)))
+    return np.linalg.svd(root, full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -288,7 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold an item, with their own columns. Rows are judged where they are, so nothing is shuffled."""
-    out = carried(docs, "text").withColumn("text", F.col("text").cast("binary"))
+    out = carried(docs, "text", own=without_text(docs)).withColumn("text", F.col("text").cast("binary"))
     for search in searches(docs, benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(search)
 
@@ -300,4 +309,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(sift, out.schema)
-    return out.select(*unpacked(docs.columns))
+    return out.select(*unpacked(docs.columns, text=F.col("text").cast("string")))
