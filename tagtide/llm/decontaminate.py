@@ -2,12 +2,13 @@
 
 Texts are words without case and ASCII punctuation, in passages of ``SPAN`` words,
 one every ``STEP`` words, over whole documents. Words weigh by their inverse
-frequency in the whole corpus. A passage is looked at further if the words it
-shares with any item hold ``MASS`` of its weight. Those passages, and the items'
-own (weighted up, so that their directions stay), give the latent directions: a
-randomised singular value decomposition whose product with the matrix is summed
-in Spark, feature by feature. A passage within ``COSINE`` of an item's in
-the latent space is a candidate.
+frequency in the whole corpus. Passages whose words in items hold ``MASS`` of
+their weight, and the items' own (weighted up, so that their directions stay),
+give the latent directions: a randomised singular value decomposition whose
+product with the matrix is summed in Spark, feature by feature. The search itself
+goes by the items' weight: a passage that holds ``SHARE`` of what an item can put
+into it is a candidate for that item, whatever stands around it, and if it is within
+``COSINE`` of another item's passage in the latent space, for that one as well.
 
 A candidate's surroundings are aligned with the whole item by their longest
 common subsequence. ``COPY`` of the item's words make a leak; ``REWORDED`` of
@@ -31,11 +32,11 @@ from tagtide.llm.columns import carried, id_and_text, unpacked, without_text
 from tagtide.llm.words import KeyTable, Words, ragged, slices
 
 SPAN, STEP = 32, 16
-MASS, COSINE = 0.45, 0.5
+MASS, COSINE, SHARE = 0.45, 0.5, 0.2
 COPY, REWORDED, ANSWER = 0.8, 0.5, 3
 ITEMS = 5_000
 FEATURES, DIMENSIONS = 8192, 256
-HASHED = 1 << 18  # counters of words of the corpus
+HASHED = 1 << 20  # counters of words of the corpus
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
@@ -109,6 +110,19 @@ class Items:
         keys = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
         self.table = KeyTable()
         self.table.add(keys)
+        # Of each distinct word its squared weight and the items that hold it; of each item the weight that makes a candidate.
+        # A run of more than SPAN - STEP words puts so many of them into one passage at least.
+        n = max(1, len(self.words))
+        item = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+        word = self.table.find(np.concatenate([*self.words, np.zeros(0, np.uint64)])).astype(np.int64)
+        held = np.unique(word * n + item)
+        self.holders, self.begins = held % n, np.searchsorted(held // n, np.arange(len(keys) + 1))
+        squares = self.idf[(keys % np.uint64(HASHED)).astype(np.int64)].astype(np.float64) ** 2
+        self.squares = np.zeros(len(keys))
+        self.squares[self.table.find(keys)] = squares
+        sizes = np.array([len(w) for w in self.words], np.float64)
+        own = np.bincount(self.holders, self.squares[held // n], n)[: len(self.words)]
+        self.least = np.maximum(SHARE * own * np.minimum(1, (SPAN + STEP) / 2 / sizes), 1e-9)
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])
         self.owner, first, size = passages(bounds)
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
@@ -123,15 +137,37 @@ class Items:
         feature = np.where(feature >= 0, feature % FEATURES, -1)
         return feature, self.idf[(keys % np.uint64(HASHED)).astype(np.int64)]
 
-    def chosen(self, words: Words):
-        """Passages that share enough with any item: (text, first word, size, words in items one after another, their passages, features and weights)."""
+    def near(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(passages, items) where the passage holds SHARE of what the item can put into it."""
+        _, first, size = passages(words.bounds)
+        number = self.table.find(words.keys).astype(np.int64)
+        held = np.concatenate([[0], np.cumsum(np.where(number >= 0, self.squares[number], 0))])
+        some = np.flatnonzero(held[first + size] - held[first] >= self.least.min())  # words of all items together
+        out = [np.zeros((2, 0), np.int64)]
+        together = max(1, (1 << 20) // len(self.words))
+        for a in range(0, len(some), together):
+            part = some[a : a + together]
+            word = number[ragged(first[part], size[part])]
+            code = np.repeat(np.arange(len(part)), size[part])[word >= 0] * self.table.n + word[word >= 0]
+            owner, word = np.divmod(np.unique(code), self.table.n)  # each word once
+            sizes = self.begins[word + 1] - self.begins[word]
+            place = np.repeat(owner * len(self.words), sizes) + self.holders[ragged(self.begins[word], sizes)]
+            sums = np.bincount(place, np.repeat(self.squares[word], sizes), len(part) * len(self.words)).reshape(len(part), -1)
+            passage, item = np.nonzero(sums >= self.least)
+            out.append(np.stack([part[passage], item]))
+        passage, item = np.concatenate(out, 1)
+        return passage, item
+
+    def chosen(self, words: Words, at: np.ndarray | None = None):
+        """Passages, of all those ``at`` places or those that share MASS of their weight with items: (text, first word, size, words in items one after another, their passages, features and weights)."""
         text, first, size = passages(words.bounds)
         feature, weight = self.features(words.keys)
-        square = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-        shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
-        mass, part = square[first + size] - square[first], shared[first + size] - shared[first]
-        keep = np.flatnonzero(part >= MASS * np.maximum(mass, 1e-9))
-        text, first, size = text[keep], first[keep], size[keep]
+        if at is None:
+            square = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
+            shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
+            mass, part = square[first + size] - square[first], shared[first + size] - shared[first]
+            at = np.flatnonzero(part >= MASS * np.maximum(mass, 1e-9))
+        text, first, size = text[at], first[at], size[at]
         at = ragged(first, size)
         owner = np.repeat(np.arange(len(size)), size)
         inside = feature[at] >= 0
@@ -226,12 +262,16 @@ class Search:
 
     def __init__(self, items: Items, directions: np.ndarray):
         self.items, self.directions = items, directions
+        self.first_target = np.searchsorted(items.owner, np.arange(len(items.words)))
         latent = items.vectors @ directions
         self.targets = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def candidates(self, words: Words):
         """(text, item, first word, size, cosine) of passages within the cosine of an item's."""
-        text, first, size, owner, feature, weight = self.items.chosen(words)
+        passage, item = self.items.near(words)
+        may = np.unique(passage)
+        text, first, size, owner, feature, weight = self.items.chosen(words, may)
+        place = np.searchsorted(may, passage)
         for a in range(0, len(text), 1024):
             b = min(a + 1024, len(text))
             cut = slice(*np.searchsorted(owner, [a, b]))
@@ -241,6 +281,10 @@ class Search:
             near, target = np.nonzero(cosine >= COSINE)
             yield from zip(text[near + a].tolist(), self.items.owner[target].tolist(), first[near + a].tolist(), size[near + a].tolist(),
                            cosine[near, target].tolist(), strict=True)
+            cut = slice(*np.searchsorted(place, [a, b]))
+            best = np.maximum.reduceat(cosine, self.first_target, axis=1)[place[cut] - a, item[cut]]
+            near = place[cut]
+            yield from zip(text[near].tolist(), item[cut].tolist(), first[near].tolist(), size[near].tolist(), best.tolist(), strict=True)
 
     def matches(self, column: pa.Array) -> list[tuple]:
         """(row, item, common words, cosine) of the leaks in a column."""
