@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 from functools import partial
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,18 @@ from pyspark.sql import functions as F
 from tagtide.llm.columns import id_and_text, keyed, unpacked
 from tagtide.llm.components import components
 from tagtide.llm.staging import staged
+from tagtide.llm.words import mixed
 
 RADIUS = 3
 FAN = 8
 #: Members up to which a group is indexed as it is.
 GROUP = 4096
 FULL = (1 << 64) - 1
+#: Similarity of sets of shingles from which the pipeline takes texts for near copies.
+ALIKE = 0.8
+#: Least hashes in a band of each kind, all kinds over the same 64.
+BANDS = (4, 8, 16)
+_TURNS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -211,10 +218,107 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the words' shingles, sorted; fewer words are one shingle, none give none."""
+    from xxhash import xxh64_intdigest
+
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(min(size, len(words)))), strict=False)) if words else ()
+    return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=42), shingles), np.uint64))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """Keys of a set of shingles: 2 sets of similarity 0.8 share one with a chance of 0.9998, those of 0.3 with one of 0.13."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_TURNS), FULL, np.uint64)
+    for a in range(0, len(shingles), 1 << 12):
+        least = np.minimum(least, mixed(shingles[None, a : a + (1 << 12)] * _TURNS[:, None]).min(1))
+    keys = []
+    for rows in BANDS:
+        for k in range(0, len(least), rows):
+            keys.append(hash_of(least[k : k + rows], len(keys)))
+    return keys
+
+
+def hash_of(values: np.ndarray, seed: int) -> int:
+    from xxhash import xxh64_intdigest
+
+    return _signed(xxh64_intdigest(values.tobytes(), seed))
+
+
+def banded(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp, same (digest of the set of shingles) and keys (its bands) of whole texts."""
+
+    def compute(batches):
+        for batch in batches:
+            words = [(text.as_py() or b"").lower().split() for text in batch.column(1)]
+            sets = [shingle_set(w, size) for w in words]
+            prints = np.array([fingerprint(w, size) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints), pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "fp", "same", "keys"])
+
+    return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long, same binary, keys array<long>")
+
+
+def shingled(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and its set of shingles as bytes."""
+
+    def compute(batches):
+        for batch in batches:
+            sets = [shingle_set((text.as_py() or b"").lower().split(), size).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    return id_and_text(docs).mapInArrow(compute, "doc_id long, shingles binary")
+
+
+def alike(pairs: DataFrame, least: float = ALIKE) -> DataFrame:
+    """The (a, b) of rows of (a, b, x, y) whose sets x and y have a Jaccard similarity of ``least``."""
+
+    def compute(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(compute, "a long, b long")
+
+
+def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links reach: those of equal sets of shingles, and of sets with a similarity of ``ALIKE``.
+
+    Candidates are those within RADIUS of each other's fingerprint in the Gray
+    index, and each set with the first one in each of its bands; all are compared
+    exactly before they are linked. Longer bands hold closer copies, so that those
+    unlike the first of a short one meet each other. No band's pairs are made.
+    """
+    rows = staged(banded(docs, size), "bands")
+    first = staged(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("fp", "keys"), "doc_id").alias("of")).select("same", "least", "of.*"), "sets")
+    keys = first.select("least", F.explode("keys").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("least").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    found = keys.join(heads, "key").where("least > b").select(F.col("least").alias("a"), "b")
+    classes = first.groupBy("fp").agg(F.min("least").alias("b"))
+    found = found.union(first.join(classes, "fp").where("least > b").select(F.col("least").alias("a"), "b"))
+    near = links(grouped(classes.select("fp"))).join(classes.select(F.col("fp").alias("a"), F.col("b").alias("one")), "a").join(
+        classes.select(F.col("fp").alias("b"), F.col("b").alias("other")), "b")
+    found = found.union(near.select(F.greatest("one", "other"), F.least("one", "other")))
+    pairs = staged(found.distinct(), "pairs")
+    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = staged(shingled(docs.join(members, "doc_id", "left_semi"), size), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    roots = components(alike(both)).select(F.col("a").alias("least"), F.col("b").alias("root"))
+    return rows.join(first.select("same", "least"), "same").join(roots, "least", "left").select(
+        "doc_id", F.coalesce("root", "least").alias("component_id"))
+
+
 def representatives(docs: DataFrame, size: int = 5) -> DataFrame:
     """Of each class of near copies the row with the smallest doc_id (a null one last), with its own columns."""
     rows = keyed(docs)
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("row"), "component_id")
+    found = near_copies(rows.select(F.col("row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row")
     first = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
     return rows.join(first, "row", "left_semi").select(*unpacked(docs.columns, text=F.col("text")))

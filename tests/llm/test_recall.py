@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tagtide.llm import decontaminate as D
+from tagtide.llm import simhash as S
 
 
 def test_short_and_reworded_items_in_foreign_text_are_found():
@@ -30,3 +31,26 @@ def test_short_and_reworded_items_in_foreign_text_are_found():
     assert len(leaks) > 350
     found = {(r, i) for r, i, *_ in D.Search(items, directions).matches(pa.array(docs, pa.binary()))}
     assert leaks <= found
+
+
+def test_near_copies_are_those_of_brute_force_jaccard(make_docs):
+    rng = np.random.default_rng(9)
+    texts = []
+    for base in range(40):
+        words = [f"b{base}x{k}" for k in range(int(rng.integers(60, 300)))]
+        for copy in range(6):
+            own = list(words)
+            for k in rng.choice(len(own), int(len(own) * copy * 0.008), replace=False):
+                own[k] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label, far = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += (S.fingerprint(texts[a].encode().split(), 5) ^ S.fingerprint(texts[b].encode().split(), 5)).bit_count() > S.RADIUS
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert far > 50  # pairs beyond the radius of one fingerprint
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(make_docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == label
