@@ -13,6 +13,8 @@ name that sorts first counts; repeated rows are answered each.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ SPELLINGS = {
     "wilful": "wilfull",
 }
 
+TEXTS = Path(__file__).parent / "licence_texts"
+
 # Texts by which documents state a licence, and short licences in full.
 KNOWN = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -94,9 +98,15 @@ def digested(docs: DataFrame, own: list[str] | None = None) -> DataFrame:
         DOC, F.when(form == "", 0).otherwise(words).cast("long").alias("n_words"), F.when(form != "", F.sha2(form, 256)).alias("digest"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """licence and text of the files in ``licence_texts``: LICENCE.txt, and LICENCE__VARIANT.txt for its other wordings."""
+    return [(file.stem.split("__")[0], file.read_text("utf-8")) for file in sorted(TEXTS.glob("*.txt"))]
+
+
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """licence and text of the licences at hand."""
-    return spark.createDataFrame(list((texts or KNOWN).items()), "licence string, text string")
+    """licence and text of the licences at hand, or of the given ones."""
+    rows = list(texts.items()) if texts else [*KNOWN.items(), *whole_texts()]
+    return spark.createDataFrame(rows, "licence string, text string")
 
 
 def scanned(docs: DataFrame, known: DataFrame, own: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tagtide.llm import decontaminate as D
+from tagtide.llm import licences
 from tagtide.llm import simhash as S
 
 
@@ -54,3 +55,11 @@ def test_near_copies_are_those_of_brute_force_jaccard(make_docs):
     assert far > 50  # pairs beyond the radius of one fingerprint
     got = {r["doc_id"]: r["component_id"] for r in S.near_copies(make_docs(texts)).collect()}
     assert [got[k] for k in range(len(texts))] == label
+
+
+def test_whole_licence_texts_are_known(spark, make_docs):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl"]
+    texts = [(licences.TEXTS / f"{name}.txt").read_text() for name in names]
+    docs = make_docs([*texts, *(t.upper() for t in texts), texts[0] + " more"])
+    got = {r["_doc"]["doc_id"]: r["licence"] for r in licences.scanned(docs, licences.known_licences(spark)).collect()}
+    assert [got[k] for k in range(len(got))] == [*names, *names, None]
