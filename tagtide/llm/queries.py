@@ -192,3 +192,37 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.licences import known_licences, scanned
 
     return scanned(documents(spark, sf), known_licences(spark), ["doc_id"]).select("_doc.doc_id", "n_words", "digest", "licence")
+
+
+_FIM = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+                  sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                       OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM g),
+p AS (SELECT *, '<P>' || substring(t, 1, a) AS prefix, '<M>' || substring(t, a + 1, b - a) AS middle, '<S>' || substring(t, b + 1, n) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+@query("op12_displacement_scatter", _FIM)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagtide.llm.fim import restored, transformed
+
+    made = transformed(documents(spark, sf).select("doc_id", "text")).select(
+        "_doc.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), "output")
+    kept = [c for c in made.columns if c != "output"]
+    return restored(made, kept).select(*kept, F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_block_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from tagtide.llm.whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf}/embeddings.parquet"))
