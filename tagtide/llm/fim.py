@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagtide.llm.columns import DOC, carried, without_text
+from tagtide.llm.rawtext import binary, parts
 
 #: What stands before prefix, suffix and middle. All have the same size and no two overlap.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 _SIZE = 3
 PLAIN, PSM, SPM = 0, 1, 2
 FORMS = ["plain", "psm", "spm"]
-#: Bytes handled at once; a longer text is handled by itself.
-TOGETHER = 1 << 20
 
 _OUT = [
     T.StructField("output", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("form", T.StringType()),
@@ -32,27 +31,6 @@ _OUT = [
 ]
 
 
-def parts(column: pa.Array, *beside: np.ndarray) -> Iterator[tuple]:
-    """(bytes, offsets, slices of the arrays beside it) of runs of rows of a binary column; a null is empty."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    k = 0
-    while k < len(column):
-        stop = max(k + 1, int(np.searchsorted(at, at[k] + TOGETHER, "right")) - 1)
-        yield data[at[k] : at[stop]], at[k : stop + 1] - at[k], *(b[k:stop] for b in beside)
-        k = stop
-
-
-def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Rows of bytes out of one array."""
-    return pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-    ).cast(pa.binary())
-
-
 def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the three markers in the bytes, none of them across the end of a row; by place, with kind and row."""
     if len(data) < _SIZE:

@@ -226,3 +226,13 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     from tagtide.llm.whitening import whitened
 
     return whitened(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op11_induced_sorting")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagtide.llm.substrings import deduplicated
+
+    found = deduplicated(documents(spark, sf).select("doc_id", "text"))
+    return found.select("_doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

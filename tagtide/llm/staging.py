@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tagtide.session import fresh_folder
 
@@ -17,3 +17,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     folder = fresh_folder(spark, purpose)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose tables are stored by now.
+
+    They go when the driver's JVM collects the plans that made them, which on a
+    quiet driver may be long after.
+    """
+    spark.sparkContext._jvm.System.gc()
