@@ -4,10 +4,10 @@ A string of ``length`` bytes that starts at two places or more is a repeat. So
 that equal strings meet in one shard, each string (window) is named by the least
 hash of the short grams inside it: equal windows have equal names. Neighbouring
 windows of one name form a segment. Segments whose name comes from a single
-place hold no repeat and go. Equal segments are folded, at most two of each are cut out of the
-texts and dealt to shards by name, and every shard builds a suffix array by
-induced sorting: a window is a repeat if its neighbour in order shares ``length``
-bytes with it.
+place hold no place hold no repeat and go. Equal segments are folded into one that stands for
+several; each is cut out of the texts once and dealt to a shard by name, and every
+shard builds a suffix array by induced sorting: a window is a repeat if its
+segment stands for several or its neighbour in order shares ``length`` bytes with it.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ GRAM = 24
 WINDOWS = 256
 #: Bytes of a shard's string; a name's segments stay together.
 SHARD = 1 << 19
-#: Different segments of one name that are sorted together. The windows of a fuller name are counted one by one.
-CROWD = 512
+#: Different segments of one name that are sorted together, some 1.2 MB. The windows of a fuller name are counted one by one.
+CROWD = 4096
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -114,80 +114,80 @@ def _segments(length: int):
     return run
 
 
-def repeats(pieces: list[tuple[np.ndarray, np.ndarray]], length: int) -> np.ndarray:
-    """Which places of the pieces' bytes start a string of ``length`` bytes, inside its piece, that starts elsewhere too."""
-    sizes = np.concatenate([np.diff(offsets) for _, offsets in pieces])
-    text = np.ones(int(sizes.sum()) + len(sizes) + 1, np.uint16)  # 1 behind every piece, 0 at the end
+def repeats(data: np.ndarray, offsets: np.ndarray, several: np.ndarray, length: int) -> np.ndarray:
+    """Which places of the pieces' bytes start a string of ``length`` bytes, inside its piece, that starts elsewhere too.
+
+    ``several`` marks the pieces that stand for more than one of the same bytes.
+    """
+    sizes = np.diff(offsets)
+    text = np.ones(len(data) + len(sizes) + 1, np.uint16)  # 1 behind every piece, 0 at the end
     text[-1] = 0
     ends = np.cumsum(sizes + 1)
     inside = ragged(ends - sizes - 1, sizes)
-    text[inside] = np.concatenate([data for data, _ in pieces]).astype(np.uint16) + 2
+    text[inside] = data.astype(np.uint16) + 2
     before, shared = common_prefixes(text, suffix_array(text))
     close = np.flatnonzero(shared >= length)
     found = np.zeros(len(text), bool)
     found[close] = True
     found[before[close]] = True
     last = np.repeat(ends - length, sizes)  # behind the last start with the whole string inside its piece
-    return found[inside] & (inside < last)
+    return (found[inside] | np.repeat(several, sizes)) & (inside < last)
 
 
 def _found(length: int):
-    """Runs of repeated windows of every segment; rows come by name and content, a name's rows together."""
-
-    def runs(names: np.ndarray, contents: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        marks = repeats([(data, offsets)], length)
-        last = np.append((names[1:] != names[:-1]) | (contents[1:] != contents[:-1]), True)  # of equal segments one
-        steps = np.diff(marks.astype(np.int8), prepend=0, append=0)
+    """Runs of repeated windows of every segment; a name's rows come together."""
+
+    def runs(table: pa.Table) -> pa.RecordBatch:
+        column = table.column("piece").combine_chunks().cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+        names, contents, several = (table.column(c).to_numpy() for c in ("name", "content", "several"))
+        offsets = at - at[0]
+        steps = np.diff(repeats(data, offsets, several.astype(bool), length).astype(np.int8), prepend=0, append=0)
         first, behind = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
         piece = np.searchsorted(offsets, first, "right") - 1
-        wanted = last[piece]
-        first, behind, piece = first[wanted], behind[wanted], piece[wanted]
         return pa.RecordBatch.from_arrays(
             [pa.array(names[piece]), pa.array(contents[piece]), pa.array((first - offsets[piece]).astype(np.int32)),
              pa.array((behind - offsets[piece]).astype(np.int32))], names=["name", "content", "first", "behind"])
 
+    def shards(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = table.column("name").to_numpy()
+        turns = np.append(np.flatnonzero(np.diff(names)) + 1, len(names))
+        size = np.cumsum(pa.compute.binary_length(table.column("piece")).to_numpy())
+        done = 0
+        while done < len(names):
+            base = size[done - 1] if done else 0
+            stop = int(turns[min(np.searchsorted(size[turns - 1], base + SHARD), len(turns) - 1)])
+            yield runs(table.slice(done, stop - done))
+            done = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            names = held.column("name").to_numpy()
-            turns = np.flatnonzero(np.diff(names)) + 1
+            turns = np.flatnonzero(np.diff(held.column("name").to_numpy())) + 1
             if len(turns) and held.nbytes >= SHARD:
                 yield from shards(held.slice(0, turns[-1]))
                 held = held.slice(turns[-1]).combine_chunks()
         if held is not None and len(held):
             yield from shards(held)
 
-    def shards(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        names, contents = table.column("name").to_numpy(), table.column("content").to_numpy()
-        turns = np.append(np.flatnonzero(np.diff(names)) + 1, len(names))
-        size = np.cumsum(pa.compute.binary_length(table.column("piece")).to_numpy())
-        done = 0
-        while done < len(names):
-            base = size[done - 1] if done else 0
-            stop = int(turns[min(np.searchsorted(size[turns - 1], base + SHARD), len(turns) - 1)])
-            column = table.column("piece").slice(done, stop - done).combine_chunks().cast(pa.large_binary())
-            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
-            yield runs(names[done:stop], contents[done:stop], data, at - at[0])
-            done = stop
-
     return run
 
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            beside = (batch.column(c).to_numpy() for c in ("name", "content"))
-            for data, offsets, names, contents in parts(batch.column("piece"), *beside):
+            beside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "content", "several"))
+            for data, offsets, names, contents, several in parts(batch.column("piece"), *beside):
                 counts = np.diff(offsets) - length + 1
                 at = ragged(offsets[:-1], counts)
                 of = np.repeat(np.arange(len(counts)), counts)
                 both = [pa.array(Hashes(data, base).of(at, at + length).view(np.int64)) for base in _BASES]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[of]), pa.array(contents[of]), pa.array((at - offsets[of]).astype(np.int32)), *both],
-                    names=["name", "content", "first", "one", "two"])
+                    [pa.array(names[of]), pa.array(contents[of]), pa.array((at - offsets[of]).astype(np.int32)),
+                     pa.array(several[of].astype(np.int32) + 1), *both], names=["name", "content", "first", "times", "one", "two"])
 
     return run
 
@@ -198,39 +198,38 @@ _RUNS = "name long, content long, first int, behind int"
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(segments with a shared name, runs of repeated windows of each different segment) of texts (row, text).
 
-    Names are counted first. Of a name that stands twice or more, equal segments
-    are folded and two of each go to the shards. A name with over ``CROWD``
-    different segments (the edge of a passage that a third of the corpus quotes)
-    would fill a shard: its windows are counted one by one by two hashes of all
-    their bytes instead, added up before the shuffle.
+    Names are counted first. Of a name that comes from two places or more, equal
+    segments are folded and one of each goes to the name's shard. A name with over
+    ``CROWD`` different segments (the edge of a passage that a third of the corpus
+    quotes) would fill a shard: its windows are counted one by one by two hashes
+    of all their bytes instead, added up before the shuffle.
     """
+    spark = texts.sparkSession
     found = staged(texts.mapInArrow(_segments(length), _SEGMENT), "segments")
     shared = found.groupBy("name").agg(F.sum(F.when(F.col("tied"), 2).otherwise(1)).alias("places")).filter("places > 1").select("name")
     held = staged(found.drop("tied").join(shared, "name", "left_semi"), "held")
-    release(texts.sparkSession)
-    place = F.struct("row", "start", "windows")
-    folded = held.groupBy("name", "content").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    release(spark)
+    folded = held.groupBy("name", "content").agg(F.min(F.struct("row", "start", "windows")).alias("p"), F.count("*").alias("n"))
     crowd = folded.groupBy("name").count().filter(F.col("count") > CROWD).select("name", F.lit(True).alias("crowded"))
-    wanted = folded.join(crowd, "name", "left").select(
-        "name", "content", F.coalesce("crowded", F.lit(False)).alias("crowded"),
-        F.explode(F.array_distinct(F.array("low", "high"))).alias("p"))
-    by_row = wanted.groupBy(F.col("p.row").alias("row")).agg(
-        F.collect_list(F.struct("name", "content", "crowded", "p.start", "p.windows")).alias("wanted"))
+    by_row = folded.join(crowd, "name", "left").groupBy(F.col("p.row").alias("row")).agg(F.collect_list(F.struct(
+        "name", "content", (F.col("n") > 1).alias("several"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "p.start", "p.windows",
+    )).alias("wanted"))
     cut = F.transform("wanted", lambda w: F.struct(
-        w["name"].alias("name"), w["content"].alias("content"), w["crowded"].alias("crowded"),
+        w["name"].alias("name"), w["content"].alias("content"), w["several"].alias("several"), w["crowded"].alias("crowded"),
         F.substring(F.col("text"), w["start"] + 1, w["windows"] + (length - 1)).alias("piece")))
     pieces = staged(texts.join(by_row, "row").select(F.explode(cut).alias("c")).select("c.*"), "pieces")
-    release(texts.sparkSession)
+    release(spark)
+    columns = ["name", "content", "several", "piece"]
     sorted_runs = (
-        pieces.filter(~F.col("crowded")).select("name", "content", "piece").repartition("name")
-        .sortWithinPartitions("name", "content").mapInArrow(_found(length), _RUNS))
-    crowded = pieces.filter("crowded").select("name", "content", "piece").mapInArrow(
-        _windows(length), "name long, content long, first int, one long, two long")
-    often = crowded.groupBy("name", "one", "two").count().filter("count > 1").select("name", "one", "two")
+        pieces.filter(~F.col("crowded")).select(*columns).repartition("name").sortWithinPartitions("name")
+        .mapInArrow(_found(length), _RUNS))
+    crowded = pieces.filter("crowded").select(*columns).mapInArrow(
+        _windows(length), "name long, content long, first int, times int, one long, two long")
+    often = crowded.groupBy("name", "one", "two").agg(F.sum("times").alias("times")).filter("times > 1").select("name", "one", "two")
     counted = crowded.join(often, ["name", "one", "two"], "left_semi").select(
         "name", "content", "first", (F.col("first") + 1).alias("behind")).distinct()
     runs = staged(sorted_runs.unionByName(counted), "runs")
-    release(texts.sparkSession)
+    release(spark)
     return held, runs
 
 

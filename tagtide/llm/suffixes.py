@@ -108,7 +108,7 @@ def _induced(symbol: np.ndarray, small: np.ndarray, left: np.ndarray, leftmost:
     of = np.zeros(n, np.int64)
     of[leftmost] = known
     places = np.concatenate([np.flatnonzero(~small), leftmost])
-    large = _ranked(places, symbol[places] * (len(leftmost) + 1) + of[places], np.where(small, 0, left))
+    large = _ranked(places, symbol[places] * (known.max() + 1) + of[places], np.where(small, 0, left))
     behind = np.flatnonzero(~small[1:] & small[:-1]) + 1  # an L behind an S
     places = np.concatenate([np.flatnonzero(small), behind])
     keys = symbol[places] * n + np.where(small[places], 0, large[places])
