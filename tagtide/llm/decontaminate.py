@@ -5,17 +5,20 @@ one every ``STEP`` words, over whole documents. Words weigh by their inverse
 frequency in the whole corpus. Passages whose words in items hold ``MASS`` of
 their weight, and the items' own (weighted up, so that their directions stay),
 give the latent directions: a randomised singular value decomposition whose
-product with the matrix is summed in Spark, feature by feature. The search itself
-goes by the items' weight: a passage that holds ``SHARE`` of what an item can put
-into it is a candidate for that item, whatever stands around it, and if it is within
-``COSINE`` of another item's passage in the latent space, for that one as well.
+product with the matrix is summed in Spark, feature by feature. Every passage of
+every document is then projected onto them and compared with every item's own
+passages in blocks; a cosine of ``COSINE`` makes a candidate. Only passages whose
+words in items weigh less than the lightest quarter of the lightest item's are
+passed over, as they can hold no leak.
 
 A candidate's surroundings are aligned with the whole item by their longest
 common subsequence. ``COPY`` of the item's words make a leak; ``REWORDED`` of
 them do if the item's answer (its own column, or its last ``ANSWER`` words) stands
 there as well.
 
-Items are taken ``ITEMS`` at a time, so what is broadcast has a bound.
+Items are taken in blocks of ``ITEMS`` items and ``WORDS`` words (or one longer
+item), so what is broadcast has a bound: a block's words, a row of directions for
+each feature, and a latent vector for each of its passages.
 
 Defined cases: null or empty texts and items without words match nothing;
 repeated items and rows are matched each; no documents or no items give no leaks.
@@ -32,9 +35,9 @@ from tagtide.llm.columns import carried, id_and_text, unpacked, without_text
 from tagtide.llm.words import KeyTable, Words, ragged, slices
 
 SPAN, STEP = 32, 16
-MASS, COSINE, SHARE = 0.45, 0.5, 0.2
+MASS, COSINE = 0.45, 0.4
 COPY, REWORDED, ANSWER = 0.8, 0.5, 3
-ITEMS = 5_000
+ITEMS, WORDS = 5_000, 250_000
 FEATURES, DIMENSIONS = 8192, 256
 HASHED = 1 << 20  # counters of words of the corpus
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -110,26 +113,18 @@ class Items:
         keys = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
         self.table = KeyTable()
         self.table.add(keys)
-        # Of each distinct word its squared weight and the items that hold it; of each item the weight that makes a candidate.
-        # A run of more than SPAN - STEP words puts so many of them into one passage at least.
-        n = max(1, len(self.words))
-        item = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
-        word = self.table.find(np.concatenate([*self.words, np.zeros(0, np.uint64)])).astype(np.int64)
-        held = np.unique(word * n + item)
-        self.holders, self.begins = held % n, np.searchsorted(held // n, np.arange(len(keys) + 1))
-        squares = self.idf[(keys % np.uint64(HASHED)).astype(np.int64)].astype(np.float64) ** 2
-        self.squares = np.zeros(len(keys))
-        self.squares[self.table.find(keys)] = squares
-        sizes = np.array([len(w) for w in self.words], np.float64)
-        own = np.bincount(self.holders, self.squares[held // n], n)[: len(self.words)]
-        self.least = np.maximum(SHARE * own * np.minimum(1, (SPAN + STEP) / 2 / sizes), 1e-9)
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])
         self.owner, first, size = passages(bounds)
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         feature, weight = self.features(flat)
-        self.vectors = np.zeros((len(size), FEATURES), np.float32)
         at = ragged(first, size)
-        np.add.at(self.vectors, (np.repeat(np.arange(len(size)), size), feature[at]), weight[at])
+        # The items' own passages: (passage, feature, weight) of their words.
+        self.cells = np.repeat(np.arange(len(size)), size), feature[at], weight[at]
+        # A leak holds half of an item's words, and some passage of it half of three quarters of a passage's:
+        # the lightest quarter of the lightest passage's words is the least that it can weigh.
+        squares = weight[at].astype(np.float64) ** 2
+        ends = np.cumsum(size)
+        self.least = min((np.sort(squares[e - n : e])[: n // 4].sum() for e, n in zip(ends, size, strict=True)), default=0.0)
 
     def features(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feature (-1: in no item) and weight of each word."""
@@ -137,36 +132,17 @@ class Items:
         feature = np.where(feature >= 0, feature % FEATURES, -1)
         return feature, self.idf[(keys % np.uint64(HASHED)).astype(np.int64)]
 
-    def near(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(passages, items) where the passage holds SHARE of what the item can put into it."""
-        _, first, size = passages(words.bounds)
-        number = self.table.find(words.keys).astype(np.int64)
-        held = np.concatenate([[0], np.cumsum(np.where(number >= 0, self.squares[number], 0))])
-        some = np.flatnonzero(held[first + size] - held[first] >= self.least.min())  # words of all items together
-        out = [np.zeros((2, 0), np.int64)]
-        together = max(1, (1 << 20) // len(self.words))
-        for a in range(0, len(some), together):
-            part = some[a : a + together]
-            word = number[ragged(first[part], size[part])]
-            code = np.repeat(np.arange(len(part)), size[part])[word >= 0] * self.table.n + word[word >= 0]
-            owner, word = np.divmod(np.unique(code), self.table.n)  # each word once
-            sizes = self.begins[word + 1] - self.begins[word]
-            place = np.repeat(owner * len(self.words), sizes) + self.holders[ragged(self.begins[word], sizes)]
-            sums = np.bincount(place, np.repeat(self.squares[word], sizes), len(part) * len(self.words)).reshape(len(part), -1)
-            passage, item = np.nonzero(sums >= self.least)
-            out.append(np.stack([part[passage], item]))
-        passage, item = np.concatenate(out, 1)
-        return passage, item
-
-    def chosen(self, words: Words, at: np.ndarray | None = None):
-        """Passages, of all those ``at`` places or those that share MASS of their weight with items: (text, first word, size, words in items one after another, their passages, features and weights)."""
+    def chosen(self, words: Words, every: bool = False):
+        """Passages that share MASS of their weight with items, or ``every`` one that can hold a leak: (text, first word, size, words in items one after another, their passages, features and weights)."""
         text, first, size = passages(words.bounds)
         feature, weight = self.features(words.keys)
-        if at is None:
+        shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
+        part = shared[first + size] - shared[first]
+        if every:
+            at = np.flatnonzero((part >= self.least * (1 - 1e-6)) & (part > 0))
+        else:
             square = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-            shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
-            mass, part = square[first + size] - square[first], shared[first + size] - shared[first]
-            at = np.flatnonzero(part >= MASS * np.maximum(mass, 1e-9))
+            at = np.flatnonzero(part >= MASS * np.maximum(square[first + size] - square[first], 1e-9))
         text, first, size = text[at], first[at], size[at]
         at = ragged(first, size)
         owner = np.repeat(np.arange(len(size)), size)
@@ -221,10 +197,13 @@ def latent_directions(docs: DataFrame, items: Items) -> np.ndarray:
     One product with a random basis is enough: A'A is approximated from it
     (Nystroem), and that approximation's eigenvectors are the directions.
     """
-    rank = min(DIMENSIONS, len(items.vectors), FEATURES)
+    owner, feature, weight = items.cells
+    count, rank = len(items.owner), min(DIMENSIONS, FEATURES)
     basis = np.linalg.qr(np.random.default_rng(5).standard_normal((FEATURES, rank + 16)))[0].astype(np.float32)
     product, n = _product(docs, items, basis)
-    product = product.astype(np.float64) + max(1.0, n / max(1, len(items.vectors))) * (items.vectors.T @ (items.vectors @ basis))
+    own = np.zeros_like(basis)
+    np.add.at(own, feature, _projected(basis, owner, feature, weight, count)[owner] * weight[:, None])
+    product = product.astype(np.float64) + max(1.0, n / max(1, count)) * own
     shift = 1e-6 * np.linalg.norm(product)
     product += shift * basis
     core = basis.T @ product
@@ -262,16 +241,12 @@ class Search:
 
     def __init__(self, items: Items, directions: np.ndarray):
         self.items, self.directions = items, directions
-        self.first_target = np.searchsorted(items.owner, np.arange(len(items.words)))
-        latent = items.vectors @ directions
+        latent = _projected(directions, *items.cells, len(items.owner))
         self.targets = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def candidates(self, words: Words):
-        """(text, item, first word, size, cosine) of passages within the cosine of an item's."""
-        passage, item = self.items.near(words)
-        may = np.unique(passage)
-        text, first, size, owner, feature, weight = self.items.chosen(words, may)
-        place = np.searchsorted(may, passage)
+        """(text, item, first word, size, cosine) of passages within the cosine of an item's, an item once a passage."""
+        text, first, size, owner, feature, weight = self.items.chosen(words, every=True)
         for a in range(0, len(text), 1024):
             b = min(a + 1024, len(text))
             cut = slice(*np.searchsorted(owner, [a, b]))
@@ -281,18 +256,16 @@ class Search:
             near, target = np.nonzero(cosine >= COSINE)
             yield from zip(text[near + a].tolist(), self.items.owner[target].tolist(), first[near + a].tolist(), size[near + a].tolist(),
                            cosine[near, target].tolist(), strict=True)
-            cut = slice(*np.searchsorted(place, [a, b]))
-            best = np.maximum.reduceat(cosine, self.first_target, axis=1)[place[cut] - a, item[cut]]
-            near = place[cut]
-            yield from zip(text[near].tolist(), item[cut].tolist(), first[near].tolist(), size[near].tolist(), best.tolist(), strict=True)
 
     def matches(self, column: pa.Array) -> list[tuple]:
         """(row, item, common words, cosine) of the leaks in a column."""
         found: dict[tuple, tuple] = {}
+        tried: set[tuple] = set()
         for row0, _, words in slices(column, change=plain):
             for text, item, first, size, cosine in self.candidates(words):
-                if (row0 + text, item) in found:
+                if (row0 + text, item) in found or (row0 + text, item, first) in tried:
                     continue
+                tried.add((row0 + text, item, first))
                 own = self.items.words[item]
                 low, high = words.bounds[text], words.bounds[text + 1]
                 around = words.keys[max(low, first - len(own)) : min(high, first + size + len(own))]
@@ -307,10 +280,13 @@ def searches(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"), answer.cast("string").cast("binary").alias("answer"))
     blocks: list[list[tuple]] = []
+    held = 0
     for row in rows.where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
-        if len(plain_words(bytes(row["text"])).keys):
-            if not blocks or len(blocks[-1]) == ITEMS:
+        if size := len(plain_words(bytes(row["text"])).keys):
+            if not blocks or len(blocks[-1]) == ITEMS or held + size > WORDS:
                 blocks.append([])
+                held = 0
+            held += size
             blocks[-1].append((row["item_id"], bytes(row["text"]), None if row["answer"] is None else bytes(row["answer"])))
     if not blocks:
         return []
