@@ -1,9 +1,12 @@
 """Removes runs of lines that stood somewhere before, by winnowing over line hashes.
 
-A window is the shortest run of lines from each line on that has ``MIN_WORDS``
-words. It is named by its least line hash together with the hash of its lines,
-so a repeated run of that many words always shares a whole window, and with it a
-fingerprint, with the place it repeats. A fingerprint's first place, in the order
+From each line on, the shortest run with ``RUN`` words is a short run, named by
+its lines' hashes. A window is the shortest run from each line on that has
+``MIN_WORDS`` words; of the short runs inside it the one with the least name is
+selected (of equal names the last), and each selected place is kept once, as a
+fingerprint. A repeated run of ``MIN_WORDS`` words holds a whole window, so it
+shares a fingerprint with the place it repeats; shorter ones, from ``RUN`` words
+on, are found where they are selected. A fingerprint's first place, in the order
 of doc_id, row and line, is joined to its later ones; each match is extended
 line by line both ways, and the later run is deleted. A line's first place is
 never deleted, so no text vanishes everywhere. All of it is DataFrame functions.
@@ -13,7 +16,7 @@ part in nothing and go only when they lie inside a deleted run.
 
 Defined cases: a null text stays null; a text whose lines all go becomes empty;
 of repeated rows the first keeps its lines; a null doc_id sorts first; texts of
-fewer words than a window lose nothing unless an extension reaches them.
+fewer words than a window lose nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from tagtide.llm.hostrules import let, words_of
 from tagtide.llm.staging import staged
 
 MIN_WORDS = 50
+RUN = 20
 STRIDE = 64  # lines compared at once when a match is extended
 
 
@@ -36,11 +40,16 @@ def _n_words(trimmed: Column) -> Column:
     return F.when(trimmed == "", 0).when(odd, F.size(words_of(trimmed))).otherwise(apart)
 
 
+def hashed(text: Column) -> Column:
+    """60 bits of the MD5, as other engines have it too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _units(text: Column) -> Column:
     """Of each line with a word: its number, hash and number of words."""
     blank = F.lit(" \t\x0b\x0c\r")
     lines = F.transform(F.split(text, "\n"), lambda line, k: let(F.btrim(line, blank), lambda x: F.struct(
-        k.alias("line"), F.xxhash64(x).alias("h"), _n_words(x).alias("w"))))
+        k.alias("line"), hashed(x).alias("h"), _n_words(x).alias("w"))))
     return F.filter(lines, lambda x: x["w"] > 0)
 
 
@@ -63,23 +72,33 @@ def _matching(own: Column, other: Column, at: Column, at_other: Column, step: in
     return F.aggregate(blocks, F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop")), move, lambda s: s["n"])
 
 
-def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row and lines (array of first and last line numbers of deleted runs) of rows with (row, doc_id, units)."""
+def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
+    """row, doc_id, pos, last and fingerprint of the selected short runs of rows with (row, doc_id, units)."""
     units = rows.select("row", "doc_id", F.posexplode("units")).select("row", "doc_id", "pos", "col.*")
     upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-    window = Window.partitionBy("row").orderBy("before").rangeBetween(0, min_words - 1)
-    windows = units.select(
-        "row", "doc_id", "pos", F.max("pos").over(window).alias("last"),
-        F.xxhash64(F.min("h").over(window), F.collect_list("h").over(window)).alias("fingerprint"),
-        (F.max(F.col("before") + F.col("w")).over(window) - F.col("before")).alias("words"),
-    ).where(F.col("words") >= min_words)
-    windows = staged(windows.drop("words"), "windows")
+    behind = F.col("before") + F.col("w")
+    short, window = (Window.partitionBy("row").orderBy("before").rangeBetween(0, n - 1) for n in (run, min_words))
+    names = hashed(F.array_join(F.collect_list("h").over(short).cast("array<string>"), ","))
+    runs = units.select(
+        "row", "doc_id", "pos", "before", "w", F.max("pos").over(short).alias("last"), F.max(behind).over(short).alias("end"),
+        F.when(F.max(behind).over(short) - F.col("before") >= run, names).alias("name"))
+    inside = runs.select(
+        "row", "doc_id", (F.max(behind).over(window) - F.col("before")).alias("words"), F.max(behind).over(window).alias("end"),
+        F.collect_list(F.struct("name", (-F.col("pos")).alias("place"), "last", F.col("end").alias("upto"))).over(window).alias("runs"))
+    least = F.array_min(F.filter("runs", lambda x: x["name"].isNotNull() & (x["upto"] <= F.col("end"))))
+    return inside.where(F.col("words") >= min_words).select("row", "doc_id", least.alias("s")).select(
+        "row", "doc_id", (-F.col("s.place")).alias("pos"), "s.last", F.col("s.name").alias("fingerprint")).distinct()
+
+
+def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, short: int = RUN) -> DataFrame:
+    """row and lines (array of first and last line numbers of deleted runs) of rows with (row, doc_id, units)."""
+    windows = staged(fingerprints(rows, min_words, short), "fingerprints")
     first = windows.groupBy("fingerprint").agg(
         F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first, "fingerprint").where("row != first.row OR pos != first.pos").select(
         "row", "pos", "last", F.col("first.row").alias("source"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    # Windows that follow or overlap each other in the same two places are one run.
+    # Short runs that follow or overlap each other in the same two places are one run.
     run = Window.partitionBy("row", "source", "shift").orderBy("pos")
     later = later.withColumn("opens", F.coalesce(F.lag("last").over(run) + 1 < F.col("pos"), F.lit(True)).cast("int"))
     later = later.withColumn("run", F.sum("opens").over(run))

@@ -129,9 +129,15 @@ clean AS (SELECT doc_id, line, regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x
 unit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
                 coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t
          FROM clean WHERE w > 0),
-win AS (SELECT doc_id, pos, list(l) OVER f AS body, max(t + w) OVER f - t AS words FROM unit
-        WINDOW f AS (PARTITION BY doc_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-full_ AS (SELECT * FROM win WHERE words >= 50),
+short AS (SELECT doc_id, pos, t, w, max(t + w) OVER f AS e, max(t + w) OVER f - t AS words,
+                 array_to_string(list(CAST('0x' || substr(md5(l), 1, 15) AS BIGINT)) OVER f, ',') AS body
+          FROM unit WINDOW f AS (PARTITION BY doc_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+named AS (SELECT *, CASE WHEN words >= 20 THEN CAST('0x' || substr(md5(body), 1, 15) AS BIGINT) END AS name FROM short),
+win AS (SELECT doc_id, max(t + w) OVER f AS e, max(t + w) OVER f - t AS words,
+               list(struct_pack(name := name, place := -pos, e := e)) OVER f AS c
+        FROM named WINDOW f AS (PARTITION BY doc_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+chosen AS (SELECT doc_id, list_min(list_filter(c, lambda x: x.name IS NOT NULL AND x.e <= win.e)) AS s FROM win WHERE words >= 50),
+full_ AS (SELECT DISTINCT doc_id, -s.place AS pos, s.name AS body FROM chosen),
 first_ AS (SELECT body, min(struct_pack(d := doc_id, p := pos)) AS f FROM full_ GROUP BY body HAVING count(*) > 1),
 later AS (SELECT doc_id, pos, f.d AS d0, pos - f.p AS shift FROM full_ JOIN first_ USING (body) WHERE doc_id <> f.d OR pos <> f.p),
 eq AS (SELECT x.doc_id, x.d0, x.shift, u.pos, u.line,
@@ -165,7 +171,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    from tagtide.llm.licences import KNOWN, SPELLINGS
+    from tagtide.llm.licences import KNOWN, SPELLINGS, whole_texts
 
     def form(text: str) -> str:
         kept = (f"array_to_string(list_filter(string_split(replace(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), "
@@ -178,7 +184,7 @@ def _licence_sql() -> str:
         cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items() if " " not in old)
         return f"trim(array_to_string(list_transform(string_split({out}, ' '), lambda w: CASE w {cases} ELSE w END), ' '))"
 
-    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN.items())
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in [*KNOWN.items(), *whole_texts()])
     return f"""
 WITH k AS (SELECT f, min(name) AS licence FROM (SELECT name, {form('body')} AS f FROM (VALUES {known}) t(name, body)) GROUP BY f),
 d AS (SELECT doc_id, {form('text')} AS f FROM documents)
