@@ -144,7 +144,11 @@ def votes(vectors: np.ndarray, sample: np.ndarray, labels: np.ndarray, block: in
     k = min(NEIGHBOURS, len(labels))
     for a in range(0, len(vectors), block):
         cosine = vectors[a : a + block] @ sample.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        more, tied = cosine > least, cosine == least
+        # Of those as similar as the last one taken, the first in the sample's order.
+        taken = more | (tied & (np.cumsum(tied, axis=1) <= k - more.sum(1, keepdims=True)))
+        near = np.nonzero(taken)[1].reshape(len(cosine), k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(float) ** 8
         out[a : a + block] = (weight * labels[near]).sum(1) / weight.sum(1)
     return np.clip(out, 0, 1)
