@@ -105,6 +105,64 @@ def test_language_cases(spark, make_docs, odd_texts):
     assert alone["lang_pred"] == "und"
 
 
+def brute_language(rows):
+    """(lang, share) by row from Python counts of (doc_id, text, lang) rows."""
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    words, ngrams = {}, {}
+    for doc, text, lang in rows:
+        if lang is not None and (doc is None or zlib.crc32(str(doc).encode()) % 4 != 2):
+            words.setdefault(lang, Counter()).update(split(text))
+    places = lambda w: [[f" {w} "[k : k + n] for n in range(1, 5) if k + n <= len(w) + 2] for k in range(len(w) + 2)]
+    for lang, own in words.items():
+        ngrams[lang] = Counter(g for w in own for at in places(w) for g in at)
+    langs = sorted(x for x in words if words[x])
+    every, all_grams = set().union(*words.values()), set().union(*ngrams.values())
+    log = lambda counts, key, size: math.log((counts[key] + 0.5) / (sum(counts.values()) + 0.5 * size))
+
+    def score(word, lang):
+        if word in every:
+            return log(words[lang], word, len(every))
+        known = [next((g for g in reversed(at) if g in all_grams), None) for at in places(word)]
+        known = [log(ngrams[lang], g, len(all_grams)) for g in known if g is not None]
+        return sum(known) / max(1, len(known))
+
+    out = []
+    for _, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        sums = [sum(score(w, x) for w in split(text)) for x in langs]
+        out.append((langs[sums.index(max(sums))], 1 / sum(math.exp(x - max(sums)) for x in sums)))
+    return out
+
+
+@pytest.mark.parametrize(("common", "most", "parts"), [(1 << 20, 1 << 20, 1), (1 << 20, 1 << 20, 7), (6, 1 << 20, 7), (6, 3, 3)])
+def test_languages_are_those_of_counted_words_and_grams(spark, odd_texts, common, most, parts, monkeypatch):
+    monkeypatch.setattr(language, "COMMON", common)  # with 6, most words are joined
+    monkeypatch.setattr(language, "GRAMS", most)  # with 3, n-grams are
+    rng = np.random.default_rng(21)
+    rows = [(None if k == 3 else k, t, "fr") for k, t in enumerate(odd_texts)]
+    letters = {"en": "aehinorst", "de": "aeinrstuü", "fr": "aeéilnrsu"}
+    for k in range(100, 260):
+        lang = ["en", "de", "fr", None][int(rng.integers(4))]
+        size = int(rng.integers(1, 40))
+        own = letters[lang or "en"]
+        rows.append((k, " ".join("".join(rng.choice(list(own), rng.integers(1, 5))) for _ in range(size)), lang))
+    rows += rows[-3:]  # repeated rows
+    frame = spark.createDataFrame([(d, t, x, 1, 2) for d, t, x in rows], "doc_id long, text string, lang string, n int, key int")
+    got = language.predicted(frame.repartition(parts)).collect()
+    want = Counter((d, lang, round(share, 4)) for (d, _, _), (lang, share) in zip(rows, brute_language(rows), strict=True))
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in got) == want
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="driver tables are not here")
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, seven = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predicted(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys()
+    assert all(one[d][0] == seven[d][0] and one[d][1] == pytest.approx(seven[d][1], abs=1e-6) for d in one)
+
+
 def test_grams_stay_in_their_word():
     keys, word = language.grams([b"ab", "é".encode(), b"c"])
     assert len(keys) == language.LONGEST and word.max() == 2
@@ -140,6 +198,16 @@ def test_votes_are_exact():
     assert neighbours.votes(vectors, sample, labels) == pytest.approx(brute_votes(vectors, sample, labels))
 
 
+def test_votes_of_equal_neighbours_go_by_the_samples_order():
+    sample = np.repeat(neighbours._unit(np.eye(4, dtype=np.float32)), neighbours.NEIGHBOURS, 0)
+    labels = np.random.default_rng(5).integers(0, 2, len(sample)).astype(float)
+    vector = neighbours._unit(np.array([[0, 1, 0, 0]], np.float32))
+    own = labels[neighbours.NEIGHBOURS : 2 * neighbours.NEIGHBOURS]
+    assert neighbours.votes(vector, sample, labels) == pytest.approx(own.mean())
+    half = neighbours._unit(np.array([[0, 0, 1, 1]], np.float32))  # as near to two groups: the first one's
+    assert neighbours.votes(half, sample, labels) == pytest.approx(labels[2 * neighbours.NEIGHBOURS : 3 * neighbours.NEIGHBOURS].mean())
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(6)
     for _ in range(60):

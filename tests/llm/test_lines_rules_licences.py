@@ -1,5 +1,9 @@
+import hashlib
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from tagtide.llm import hostrules, licences, linedup
 from tagtide.llm.columns import DOC
 
@@ -40,22 +44,42 @@ def test_hosts_are_shrunk_and_clean_documents_stay(spark, make_docs):
     assert one["shrunk_rate"] == pytest.approx(80 / 83)
 
 
-def brute_lines(docs, least):
-    """Texts without the later of repeated runs, by comparing every window with every earlier one."""
+def line_hash(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def selected_runs(unit, least, run):
+    """(first, last, name) of the short runs that windows of (line number, text, words) select."""
+    def shortest(i, words):
+        n = 0
+        for j in range(i, len(unit)):
+            n += unit[j][2]
+            if n >= words:
+                return j
+        return None
+
+    short = [shortest(i, run) for i in range(len(unit))]
+    out = set()
+    for i in range(len(unit)):
+        last = shortest(i, least)
+        if last is not None:
+            names = [(line_hash(",".join(str(line_hash(x)) for _, x, _ in unit[j : short[j] + 1])), -j)
+                     for j in range(i, last + 1) if short[j] is not None and short[j] <= last]
+            name, j = min(names)
+            out.add((-j, short[-j], name))
+    return sorted(out)
+
+
+def brute_lines(docs, least, run=linedup.RUN):
+    """Texts without the later of repeated runs: the first place of each selected run against its later ones, line by line."""
     units = []
     for _, text in docs:
         lines = [(k, line.strip(" \t\n\x0b\x0c\r")) for k, line in enumerate((text or "").split("\n"))]
         units.append([(k, x, len(x.split())) for k, x in lines if x.split()])
     places, gone = {}, [set() for _ in docs]
     for d, unit in enumerate(units):
-        for i in range(len(unit)):
-            j, n = i, 0
-            while j < len(unit) and n < least:
-                n += unit[j][2]
-                j += 1
-            if n < least:
-                continue
-            key = tuple(x for _, x, _ in unit[i:j])
+        for i, last, key in selected_runs(unit, least, run):
+            j = last + 1
             if key not in places:
                 places[key] = (d, i)
                 continue
@@ -85,6 +109,9 @@ def test_repeated_runs_go(make_docs):
     want = brute_lines(list(enumerate(texts)), 50)
     assert [r["text"] or "" for r in got] == want
     assert got[9]["text"] is None and got[8]["text"] == texts[8]  # 40 words are no window
+    places = linedup.fingerprints(linedup.keyed(docs).select("row", "doc_id", linedup._units(F.col("text")).alias("units")))
+    lines = sum(len([x for x in (t or "").split("\n") if x.split()]) for t in texts)
+    assert 0 < places.count() < lines / 2  # thinned
     kept = linedup.without_repeats(docs)
     assert kept.columns == docs.columns
     rows = {r["doc_id"]: r for r in kept.collect()}

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -23,6 +24,23 @@ def test_equals_sql(spark, name):
     assert compare(duck(SF), run(spark, SF), sql) == ""
 
 
+def test_licences_equal_sql_where_there_are_some(spark, folder):
+    """The licence query's SQL over a table that holds every known wording, as it is and in other layouts."""
+    from tagtide.llm.licences import KNOWN, whole_texts
+
+    texts = [text for _, text in [*KNOWN.items(), *whole_texts()]]
+    texts += [t.upper().replace(".", " . ") for t in texts] + ["Copyright (c) 2020 Somebody\n" + t.replace("\n", "\r\n") for t in texts]
+    texts += [t + " more" for t in texts[:5]] + [None, "", "Copyright 1999 X"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    run, sql = FOUND["op4_licence_digests"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert compare(con, run(spark, folder), sql) == ""
+    names = [r["licence"] for r in run(spark, folder).orderBy("doc_id").collect()]
+    assert None not in names[: 3 * (len(KNOWN) + len(whole_texts()))] and names[-3:] == [None] * 3
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op8_winnowed_lines", "op10_host_rules"):
         plan = FOUND[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -2,36 +2,69 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tagtide.llm import decontaminate as D
 from tagtide.llm import licences
 from tagtide.llm import simhash as S
 
 
-def test_short_and_reworded_items_in_foreign_text_are_found():
+def planted(rng, texts, n, keep):
+    """Documents of foreign words and of common ones, each with one item in it; and its number."""
+    docs = []
+    for k in range(n):
+        own = texts[k % len(texts)].split()
+        if k % 2:
+            kept = rng.random(len(own)) < keep
+            kept[-D.ANSWER :] = True
+            own = [w if y else f"new{rng.integers(10**6)}" for w, y in zip(own, kept, strict=True)]
+        foreign = [f"foreign{x}" if x % 3 else f"w{int(x) % 40}" for x in rng.integers(0, 10**6, 90)]
+        docs.append((" ".join(foreign[:45] + own + foreign[45:]), k % len(texts)))
+    return docs
+
+
+@pytest.mark.parametrize(("low", "high", "keep"), [(8, 60, 0.65), (60, 150, 0.6), (150, 600, 0.6)])
+def test_whole_and_reworded_items_in_foreign_text_are_found(spark, low, high, keep):
     rng = np.random.default_rng(8)
     words = [f"w{k}" for k in range(3000)]
     share = 1 / np.arange(1, 3001)
-    draw = lambda n: rng.choice(words, n, p=share / share.sum()).tolist()
-    texts = [" ".join(draw(int(rng.integers(8, 60)))).encode() for _ in range(60)]
-    counts = np.zeros(D.HASHED, np.int64)
-    np.add.at(counts, (D.plain_words(" ".join(words).encode()).keys % np.uint64(D.HASHED)).astype(np.int64), (1e6 * share).astype(np.int64))
-    items = D.Items([(k, t, None) for k, t in enumerate(texts)], counts)
-    directions = np.linalg.qr(rng.standard_normal((D.FEATURES, 16)))[0].astype(np.float32)
-    docs, planted = [], []
-    for k in range(400):
-        own = texts[k % 60].decode().split()
-        if k % 2:
-            keep = rng.random(len(own)) < 0.65
-            keep[-D.ANSWER :] = True
-            own = [w if y else f"new{rng.integers(10**6)}" for w, y in zip(own, keep, strict=True)]
-        foreign = [f"foreign{x}" for x in rng.integers(0, 10**6, 90)]
-        docs.append(" ".join(foreign[:45] + own + foreign[45:]).encode())
-        planted.append(k % 60)
-    leaks = {(r, i) for r, i in enumerate(planted) if D.aligned(D.plain_words(docs[r]).keys, items.words[i], items.answers[i])[1]}
-    assert len(leaks) > 350
-    found = {(r, i) for r, i, *_ in D.Search(items, directions).matches(pa.array(docs, pa.binary()))}
-    assert leaks <= found
+    draw = lambda n: " ".join(rng.choice(words, n, p=share / share.sum()))
+    texts = [draw(int(rng.integers(low, high))) for _ in range(40)]
+    docs = planted(rng, texts, 400 if high < 100 else 120, keep)
+    clean = [draw(300) for _ in range(300)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*(t for t, _ in docs), *clean])], "doc_id long, text string").repartition(3)
+    items = D.Items([(k, t.encode(), None) for k, t in enumerate(texts)], D.word_frequencies(frame))
+    keys = [D.plain_words(t.encode()).keys for t, _ in docs]
+    leaks = {(r, i) for r, (_, i) in enumerate(docs) if D.aligned(keys[r], items.words[i], items.answers[i])[1]}
+    assert len(leaks) > 0.8 * len(docs)
+    found = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame, spark.createDataFrame(
+        [(k, t) for k, t in enumerate(texts)], "item_id long, text string")).collect()}
+    assert len(leaks & found) >= 0.98 * len(leaks)
+
+
+def test_the_learned_directions_decide(spark, monkeypatch):
+    """With as few directions as items have, learned ones find the leaks, random ones of the same number lose some."""
+    monkeypatch.setattr(D, "DIMENSIONS", 40)
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 600, n)]
+    texts = [" ".join(some(int(rng.integers(12, 18)))) for _ in range(40)]
+    docs = []
+    for k in range(400):  # items with a third of their words replaced, among words of which half are other items'
+        own = texts[k % 40].split()
+        own = [w if y else f"new{rng.integers(10**6)}" for w, y in zip(own, [*(rng.random(len(own) - D.ANSWER) < 0.6), *[True] * D.ANSWER], strict=True)]
+        around = [w if rng.random() < 0.5 else f"foreign{rng.integers(10**6)}" for w in some(80)]
+        docs.append((" ".join(around[:40] + own + around[40:]), k % 40))
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(docs)], "doc_id long, text string")
+    items = D.Items([(k, t.encode(), None) for k, t in enumerate(texts)], D.word_frequencies(frame))
+    column = pa.array([t.encode() for t, _ in docs], pa.binary())
+    leaks = {(r, i) for r, (t, i) in enumerate(docs) if D.aligned(D.plain_words(t.encode()).keys, items.words[i], items.answers[i])[1]}
+
+    def share(directions):
+        return len(leaks & {(r, i) for r, i, *_ in D.Search(items, directions).matches(column)}) / len(leaks)
+
+    random = np.linalg.qr(rng.standard_normal((D.FEATURES, 40)))[0].astype(np.float32)
+    learned = share(D.latent_directions(frame, items))
+    assert learned > 0.98 and share(random) < learned - 0.02
 
 
 def test_near_copies_are_those_of_brute_force_jaccard(make_docs):
