@@ -38,7 +38,7 @@ SPAN, STEP = 32, 16
 MASS, COSINE = 0.45, 0.4
 COPY, REWORDED, ANSWER = 0.8, 0.5, 3
 ITEMS, WORDS = 5_000, 250_000
-FEATURES, DIMENSIONS = 8192, 256
+FEATURES, DIMENSIONS = 8192, 128
 HASHED = 1 << 20  # counters of words of the corpus
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -132,17 +132,14 @@ class Items:
         feature = np.where(feature >= 0, feature % FEATURES, -1)
         return feature, self.idf[(keys % np.uint64(HASHED)).astype(np.int64)]
 
-    def chosen(self, words: Words, every: bool = False):
-        """Passages that share MASS of their weight with items, or ``every`` one that can hold a leak: (text, first word, size, words in items one after another, their passages, features and weights)."""
+    def chosen(self, words: Words):
+        """Passages that share MASS of their weight with items: (text, first word, size, words in items one after another, their passages, features and weights)."""
         text, first, size = passages(words.bounds)
         feature, weight = self.features(words.keys)
         shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
         part = shared[first + size] - shared[first]
-        if every:
-            at = np.flatnonzero((part >= self.least * (1 - 1e-6)) & (part > 0))
-        else:
-            square = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
-            at = np.flatnonzero(part >= MASS * np.maximum(square[first + size] - square[first], 1e-9))
+        square = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
+        at = np.flatnonzero(part >= MASS * np.maximum(square[first + size] - square[first], 1e-9))
         text, first, size = text[at], first[at], size[at]
         at = ragged(first, size)
         owner = np.repeat(np.arange(len(size)), size)
@@ -244,17 +241,46 @@ class Search:
         latent = _projected(directions, *items.cells, len(items.owner))
         self.targets = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
+    def latent(self, words: Words) -> tuple[np.ndarray, ...]:
+        """(text, first word, size, latent vector) of the passages that can hold a leak, some at a time.
+
+        Passages overlap by halves of ``STEP`` words, so halves are projected and added in pairs.
+        """
+        feature, weight = self.items.features(words.keys)
+        text, first, size = passages(words.bounds)
+        shared = np.concatenate([[0], np.cumsum(np.where(feature >= 0, weight, 0).astype(np.float64) ** 2)])
+        part = shared[first + size] - shared[first]
+        may = (part >= self.items.least * (1 - 1e-6)) & (part > 0)
+        # A passage's halves are numbered after the first words of all passages and, of a text's last one, its middle.
+        last = np.append(text[1:] != text[:-1], True)
+        tail = last & (size > STEP)
+        begins = np.concatenate([first, first[tail] + STEP])
+        lengths = np.minimum(STEP, np.concatenate([first + size, (first + size)[tail]]) - begins)
+        order = np.argsort(begins)
+        half = np.empty(len(begins), np.int64)
+        half[order] = np.arange(len(begins))
+        begins, lengths = begins[order], lengths[order]
+        own = half[: len(first)]
+        both = size > STEP  # the second half follows: the next passage's first one, or the tail
+        for a in range(0, len(first), 1024):
+            b = min(a + 1024, len(first))
+            low, high = own[a], own[b - 1] + 1 + int(both[b - 1])
+            at = ragged(begins[low:high], lengths[low:high])
+            owner = np.repeat(np.arange(high - low), lengths[low:high])
+            inside = feature[at] >= 0
+            sums = _projected(self.directions, owner[inside], feature[at[inside]], weight[at[inside]], high - low)
+            x = sums[own[a:b] - low]
+            x[both[a:b]] += sums[own[a:b][both[a:b]] - low + 1]
+            keep = np.flatnonzero(may[a:b])
+            yield text[a:b][keep], first[a:b][keep], size[a:b][keep], x[keep]
+
     def candidates(self, words: Words):
-        """(text, item, first word, size, cosine) of passages within the cosine of an item's, an item once a passage."""
-        text, first, size, owner, feature, weight = self.items.chosen(words, every=True)
-        for a in range(0, len(text), 1024):
-            b = min(a + 1024, len(text))
-            cut = slice(*np.searchsorted(owner, [a, b]))
-            x = _projected(self.directions, owner[cut] - a, feature[cut], weight[cut], b - a)
+        """(text, item, first word, size, cosine) of passages within the cosine of an item's."""
+        for text, first, size, x in self.latent(words):
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             cosine = x @ self.targets.T
-            near, target = np.nonzero(cosine >= COSINE)
-            yield from zip(text[near + a].tolist(), self.items.owner[target].tolist(), first[near + a].tolist(), size[near + a].tolist(),
+            near, target = np.divmod(np.flatnonzero(cosine.ravel() >= COSINE), len(self.targets))
+            yield from zip(text[near].tolist(), self.items.owner[target].tolist(), first[near].tolist(), size[near].tolist(),
                            cosine[near, target].tolist(), strict=True)
 
     def matches(self, column: pa.Array) -> list[tuple]:
