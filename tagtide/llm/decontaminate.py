@@ -35,10 +35,10 @@ from tagtide.llm.columns import carried, id_and_text, unpacked, without_text
 from tagtide.llm.words import KeyTable, Words, ragged, slices
 
 SPAN, STEP = 32, 16
-MASS, COSINE = 0.45, 0.4
+MASS, COSINE = 0.45, 0.6
 COPY, REWORDED, ANSWER = 0.8, 0.5, 3
 ITEMS, WORDS = 5_000, 250_000
-FEATURES, DIMENSIONS = 8192, 128
+FEATURES, DIMENSIONS = 8192, 192
 HASHED = 1 << 20  # counters of words of the corpus
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
