@@ -67,10 +67,17 @@ def normalise(statuses: DataFrame, salt: str, suppressed: DataFrame | None = Non
 
 
 def drop_suppressed(posts: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """Marks posts of suppressed authors that no earlier check rejected."""
-    marks = suppressed.select("author_hash").distinct().withColumn("_suppressed", F.lit(True))
+    """Marks posts of suppressed authors that no earlier check rejected.
+
+    Posts without an author can match nothing; in a shuffle they are spread by their
+    link instead of meeting in one place.
+    """
+    marks = suppressed.filter(F.col("author_hash").isNotNull()).select(F.col("author_hash").alias("_gone")).distinct().withColumn(
+        "_suppressed", F.lit(True))
+    elsewhere = F.concat(F.lit("without an author "), F.coalesce("uri", F.lit(""))).cast("binary")
     return (
-        posts.join(marks, "author_hash", "left")
+        posts.withColumn("_key", F.coalesce("author_hash", elsewhere))
+        .join(marks, F.col("_key") == F.col("_gone"), "left")
         .withColumn("skip_reason", F.coalesce("skip_reason", F.when(F.col("_suppressed"), "suppressed")))
         .select(*posts.columns)
     )

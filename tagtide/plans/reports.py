@@ -249,10 +249,15 @@ def instances_report(registry: DataFrame, polls: DataFrame, now: int) -> DataFra
     )
 
 
-def servers_by_capability(registry: DataFrame) -> DataFrame:
-    """Hosts per capability; opted-out servers form a group of their own."""
+def server_groups(registry: DataFrame) -> DataFrame:
+    """(capability, host) of every server; opted-out servers form a group of their own. For registries of any size."""
     group = F.when(F.col("opt_out"), "opted_out").otherwise(F.col("capability")).alias("capability")
-    return registry.groupBy(group).agg(F.sort_array(F.collect_list("host")).alias("hosts"))
+    return registry.select(group, "host")
+
+
+def servers_by_capability(registry: DataFrame) -> DataFrame:
+    """Hosts per capability in one row each, as the published report has them; ``server_groups`` has them as rows."""
+    return server_groups(registry).groupBy("capability").agg(F.sort_array(F.collect_list("host")).alias("hosts"))
 
 
 def coverage_report(registry: DataFrame) -> DataFrame:

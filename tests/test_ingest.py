@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -109,6 +110,37 @@ def test_stored_table_rewrites_touched_days_only(spark, folder):
     assert "PartitionFilters: [isnotnull(created_date" in pruned
 
 
+def test_a_view_with_another_time_joins_its_post(spark, folder):
+    path, day = f"{folder}/observation", 86_400
+    tables.merge_observations_into(spark, observed(spark, sighting(created=10 * day), sighting(uri="far", created=30 * day)), path)
+    untouched = {d: set(os.listdir(d)) for d in (f"{path}/created_date=1970-01-31",)}
+    later = observed(spark, sighting(created=13 * day, observed=13 * day, mask=2), sighting(uri="u3", created=13 * day, mask=4))
+    for _ in range(2):
+        tables.merge_observations_into(spark, later, path)
+        rows = {(r["uri"], r["created_at"] // day, r["seen_mask"]) for r in tables.read_observations(spark, path).collect()}
+        assert rows == {("u1", 10, 3), ("far", 30, 1), ("u3", 13, 4)}
+    assert untouched == {d: set(os.listdir(d)) for d in untouched}
+    known = tables.known_days(spark, later, path)
+    assert {(r["uri"], str(r["created_date"])) for r in known.collect()} == {("u1", "1970-01-11"), ("u3", "1970-01-14")}
+    plan = known._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(bucket" in plan
+    tables.remove_from_store(spark, path, spark.createDataFrame([(b"a" * 16,)], "author_hash binary"), "author_hash")
+    assert [n for n in os.listdir(f"{path}-index") if n.startswith("created_date")] == []
+    tables.merge_observations_into(spark, later, path)
+    assert {r["created_at"] // day for r in tables.read_observations(spark, path).collect()} == {13}
+
+
+def test_a_store_without_an_index_gets_one(spark, folder):
+    path, day = f"{folder}/observation", 86_400
+    tables.write_observations(observed(spark, sighting(created=10 * day)), path)
+    shutil.rmtree(f"{path}-index")
+    tables.merge_observations_into(spark, observed(spark, sighting(created=12 * day, observed=12 * day, mask=2)), path)
+    (row,) = tables.read_observations(spark, path).collect()
+    assert (row["created_at"], row["seen_mask"]) == (10 * day, 3)
+    tables.merge_observations_into(spark, observed(spark, sighting()).limit(0), path)
+    assert tables.read_observations(spark, path).count() == 1
+
+
 def test_candidate_gains_one_sighting_per_batch(spark):
     schema = "name STRING, author_hash BINARY, origin_host STRING, tags_on_post INT, observed_at BIGINT, host STRING, seq BIGINT"
     rows = [("cats", b"a" * 16, "o1", 2, 10, "h", 1), ("cats", b"a" * 16, "o2", 9, 20, "h", 2), ("cats", b"b" * 16, "o1", 1, 5, "h", 3)]

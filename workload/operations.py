@@ -52,6 +52,12 @@ def _(spark, sf):
     return rows.select("capability", F.array_join("hosts", ",").alias("hosts"))
 
 
+@check("server_groups", q(EV, POLLS, """
+SELECT CASE WHEN opt_out THEN 'opted_out' ELSE capability END AS capability, host FROM registry"""))
+def _(spark, sf):
+    return reports.server_groups(B.registry(spark, sf))
+
+
 @check("coverage_report", q(EV, POLLS, """
 SELECT CASE WHEN opt_out THEN 'opted_out' ELSE capability END AS capability, host FROM registry"""))
 def _(spark, sf):

@@ -97,6 +97,37 @@ def _(spark, sf):
     return raw.rejected_pages(captured_pages(spark, sf)).select("page_id")
 
 
+def page_files(spark, sf):
+    """The captured pages as files of JSON lines: one in eight lines is cut, one list in nine."""
+    page = F.col("page_id")
+    body = F.when(page % 9 == 4, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.col("body"))
+    line = F.to_json(F.struct(F.lit("h0.example").alias("server"), F.lit(NOW).cast("bigint").alias("batch_at"),
+                              page.cast("string").alias("page_id"), body.alias("body")))
+    folder = fresh_folder(spark, "pages")
+    cut = F.when(page % 8 == 3, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
+    captured_pages(spark, sf).select(cut.alias("value")).write.text(folder)
+    return folder
+
+
+@check("read_statuses", q(EV, _NORMALISED, """
+SELECT page_id, count(*) AS statuses, count(uri) AS uris FROM raw WHERE page_id % 8 <> 3 AND page_id % 9 <> 4 GROUP BY page_id"""))
+def _(spark, sf):
+    """Statuses of the pages that can be read, from files."""
+    rows = raw.parse_statuses(raw.sound_pages(raw.capture_records(spark, page_files(spark, sf))))
+    uri = F.coalesce("status.reblog.uri", "status.uri")
+    return rows.groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.count("*").alias("statuses"), F.count(uri).alias("uris"))
+
+
+@check("quarantined_pages", q(EV, """
+page AS (SELECT DISTINCT event_id // 40 AS page_id FROM ev)""", """
+SELECT page_id, CASE WHEN page_id % 8 = 3 THEN 'no_record' WHEN page_id % 10 = 9 THEN 'no_list' ELSE 'unreadable_list' END AS reason
+FROM page WHERE page_id % 8 = 3 OR page_id % 10 = 9 OR page_id % 9 = 4"""))
+def _(spark, sf):
+    aside = raw.quarantined(raw.capture_records(spark, page_files(spark, sf)))
+    known = F.coalesce("page_id", F.regexp_extract("record", r'"page_id":"(\d+)"', 1))
+    return aside.select(known.cast("bigint").alias("page_id"), "reason")
+
+
 @check("read_tag_counters", q(EV, """
 SELECT 'h' || (event_id % 9) AS host, event_type AS tag, created_at AS day, k AS uses, k // 2 AS accounts
 FROM ev WHERE k % 6 <> 1"""))
@@ -261,12 +292,14 @@ def _(spark, sf):
     return merged.select("tag_id", "uri", "observed_at", "seen_mask")
 
 
-@check("stored_merge", q(OBS, """
+_HALVES = """
 half AS (SELECT tag_id, uri, min(observed_at) FILTER (WHERE s % 2 = 0) AS even_at, min(observed_at) AS any_at,
-                any_value(created_at) AS created_at, bit_or(CAST(1 AS BIGINT) << s) AS seen_mask FROM credited GROUP BY tag_id, uri)""", """
-SELECT tag_id, uri, created_at, coalesce(even_at, any_at) AS observed_at, seen_mask FROM half"""))
-def _(spark, sf):
-    first, second = split_by_server(spark, sf)
+                arg_min(created_at + {shift}, observed_at) FILTER (WHERE s % 2 = 1) AS odd_created,
+                any_value(created_at) AS created_at, bit_or(CAST(1 AS BIGINT) << s) AS seen_mask FROM credited GROUP BY tag_id, uri)"""
+
+
+def stored_halves(spark, sf, second):
+    first, _ = split_by_server(spark, sf)
     path = fresh_folder(spark, "stored")
     tables.write_observations(first, path)
     for _ in range(2):  # a repeated batch changes nothing
@@ -274,6 +307,23 @@ def _(spark, sf):
     return tables.read_observations(spark, path).select("tag_id", "uri", "created_at", "observed_at", "seen_mask")
 
 
+@check("stored_merge", q(OBS, _HALVES.format(shift=0), """
+SELECT tag_id, uri, created_at, coalesce(even_at, any_at) AS observed_at, seen_mask FROM half"""))
+def _(spark, sf):
+    return stored_halves(spark, sf, split_by_server(spark, sf)[1])
+
+
+@check("stored_merge_other_times", q(OBS, _HALVES.format(shift="(s * 2 - 9) * 86400"), """
+SELECT tag_id, uri, CASE WHEN even_at IS NULL THEN odd_created ELSE created_at END AS created_at,
+       coalesce(even_at, any_at) AS observed_at, seen_mask FROM half"""))
+def _(spark, sf):
+    """The odd servers give each post a time up to nine days from the first one's."""
+    rows = B.credited(B.event_views(spark, sf), B.event_tags(spark, sf))
+    s = F.regexp_extract("host", r"^h(\d+)", 1).cast("int")
+    odd = rows.filter(s % 2 == 1).withColumn("created_at", F.col("created_at") + (s * 2 - 9) * 86_400)
+    return stored_halves(spark, sf, ingest.merge_sightings(odd))
+
+
 @check("stored_retention", q(OBS, POLLS, f"""
 sup AS (SELECT DISTINCT substr(sha256('test-salt u' || doc_id), 1, 32) AS author_hex FROM labels WHERE quality = 0)""", f"""
 SELECT tag_id, uri, created_at, seen_mask FROM obs WHERE created_at >= {NOW} - 25 * 3600 - 7 * 86400
