@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from tagtide.llm.words import KeyTable, mixed, slices
 
 LONGEST = 4
 #: Words that are broadcast, with a number a language; and n-grams at most.
-COMMON = 1 << 20
+COMMON = 1 << 19
 GRAMS = 1 << 20
 #: Bytes of a broadcast table's numbers at most: fewer words are common where there are very many languages.
 TABLE = 1 << 26
@@ -131,8 +130,14 @@ def by_language(counts: DataFrame, langs: list[str]) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("n").alias("total"), each.alias("n"))
 
 
-def most_frequent(table: DataFrame, limit: int) -> pd.DataFrame:
-    """key and n of at most ``limit`` keys: all those of the levels of frequency that fit."""
+def gathered(table: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts by language) of a table of bounded size, as columns of numbers."""
+    found = table.select("key", *(F.col("n")[k].alias(f"n{k}") for k in range(width))).toArrow()
+    return found["key"].to_numpy().view(_U), np.stack([found[f"n{k}"].to_numpy() for k in range(width)], 1)
+
+
+def most_frequent(table: DataFrame, limit: int) -> DataFrame:
+    """The rows of at most ``limit`` keys: all those of the levels of frequency that fit."""
     level = F.floor(F.log2("total") * 16).cast("int")
     sizes = table.groupBy(level.alias("level")).agg(F.count("*").alias("keys")).collect()  # some 1,000 levels at most
     least, taken = None, 0
@@ -140,7 +145,7 @@ def most_frequent(table: DataFrame, limit: int) -> pd.DataFrame:
         if taken + row["keys"] > limit:
             break
         taken, least = taken + row["keys"], row["level"]
-    return table.where(level >= least if least is not None else F.lit(False)).select("key", "n").toPandas()
+    return table.where(level >= least if least is not None else F.lit(False))
 
 
 class Logs:
@@ -159,10 +164,10 @@ class Logs:
 class Table:
     """Log frequencies by language of keys."""
 
-    def __init__(self, counts: pd.DataFrame, logs: Logs, width: int):
+    def __init__(self, counts: DataFrame, logs: Logs, width: int):
+        keys, n = gathered(counts, width)
         self.keys = KeyTable()
-        self.keys.add(counts["key"].to_numpy(np.int64).view(_U))
-        n = np.array(counts["n"].tolist(), float).reshape(len(counts), width)
+        self.keys.add(keys)
         self.logs = logs.of(n).astype(np.float32)
 
 
@@ -187,7 +192,7 @@ class Model:
         distinct = table.count()
         self.gram_logs = Logs([totals.get(x, 0) for x in self.langs], distinct)
         fits = distinct <= min(GRAMS, TABLE // (4 * width))
-        self.grams = Table(table.select("key", "n").toPandas(), self.gram_logs, width) if fits else None
+        self.grams = Table(table, self.gram_logs, width) if fits else None
         self.gram_table = table
 
 
