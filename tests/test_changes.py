@@ -130,16 +130,16 @@ def test_retention_takes_rows_and_folders(spark, folder, collect, registry):
 
 def test_folders_do_not_grow(spark, folder, tags, registry):
     pages = f"{folder}/pages"
-    for k in range(20):
+    for k in range(8):
         spark.createDataFrame([post(f"u{k}", (100 + k) * 3600, names=("cats", f"n{k}"))], POSTS).coalesce(1).write.mode("append").parquet(pages)
     stream = spark.readStream.schema(POSTS).option("maxFilesPerTrigger", 1).parquet(pages)
     root = f"{folder}/tables"
-    jobs.start_collection(stream, root, f"{folder}/state", tags, registry, "salt", retain_every=4).awaitTermination()
+    jobs.start_collection(stream, root, f"{folder}/state", tags, registry, "salt", retain_every=2).awaitTermination()
     for table in (*changes.CLOCKS, *changes.BY_BATCH):
-        assert len(folders(root, table)) <= 4 and len(folders(root, f"{table}.base")) <= 1, table
+        assert len(folders(root, table)) <= 2 and len(folders(root, f"{table}.base")) <= 1, table
     assert len(folders(root, "tombstone")) + len(folders(root, "tombstone.base")) <= 1
     kept = {u for u, *_ in stored(spark, root)}
-    assert kept <= {f"u{k}" for k in range(20)} and 0 < len(kept) <= 20 and len(folders(root, "tick_report")) == 20
+    assert kept <= {f"u{k}" for k in range(8)} and 0 < len(kept) <= 8 and len(folders(root, "tick_report")) == 8
     assert not [n for n in os.listdir(folder) if n.startswith("batch-")]
 
 
