@@ -23,6 +23,8 @@ rows share their class; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
+from fractions import Fraction
 from functools import partial
 from hashlib import sha256
 
@@ -45,6 +47,10 @@ FULL = (1 << 64) - 1
 ALIKE = 0.8
 #: Least hashes in a band of each kind, all kinds over the same 64.
 BANDS = (4, 8, 16)
+#: Texts in the sample whose shingles are counted, and how many of the commonest stand last in every prefix.
+SAMPLE, COMMON = 1 << 14, 1 << 17
+#: Rows of one key that a task compares with all others of the key.
+TOGETHER = 2048
 _TURNS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -246,8 +252,42 @@ def hash_of(values: np.ndarray, seed: int) -> int:
     return _signed(xxh64_intdigest(values.tobytes(), seed))
 
 
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of a sample of the texts, sorted, and in how many of it each is."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def spread(batches):
+        for batch in batches:
+            sets = [shingle_set((text.as_py() or b"").lower().split(), size) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
+
+    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
+    rows = texts.mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = rows.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()  # 2 MB at most
+    shingles, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def least_shared(n: int, least: float) -> int:
+    """Shingles that a set of n has in common at least with any set of a similarity of ``least``."""
+    return math.ceil(Fraction(least) * n * (1 - Fraction(1, 1 << 40)))
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = ALIKE) -> np.ndarray:
+    """The first of a set's shingles, the rare before the common: two sets of a similarity of ``least`` share one of theirs."""
+    known, counts = common
+    weight = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        weight = np.where(known[at] == shingles, counts[at], 0)
+    order = np.argsort(weight, kind="stable")  # ties go by the shingle: one order for all sets
+    return shingles[order][: len(shingles) - least_shared(len(shingles), least) + 1] if len(shingles) else shingles
+
+
 def banded(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, same (digest of the set of shingles) and keys (its bands) of whole texts."""
+    """doc_id, fp, same (digest of the set of shingles), n (their number), keys (its bands) and prefix of whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def compute(batches):
         for batch in batches:
@@ -255,10 +295,11 @@ def banded(docs: DataFrame, size: int) -> DataFrame:
             sets = [shingle_set(w, size) for w in words]
             prints = np.array([fingerprint(w, size) for w in words], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints), pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "fp", "same", "keys"])
+                [batch.column(0), pa.array(prints), pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([prefix(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "fp", "same", "n", "keys", "prefix"])
 
-    return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long, same binary, keys array<long>")
+    return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long, same binary, n int, keys array<long>, prefix array<long>")
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
@@ -287,13 +328,52 @@ def alike(pairs: DataFrame, least: float = ALIKE) -> DataFrame:
     return pairs.mapInArrow(compute, "a long, b long")
 
 
+def compared(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
+    """The links among pairs (a, b) of doc_ids, their whole sets of shingles compared."""
+    pairs = staged(pairs.distinct(), "pairs")
+    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = staged(shingled(docs.join(members, "doc_id", "left_semi"), size), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return alike(both)
+
+
+def unlinked(sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """(a, b) of all sets in different classes that can have a similarity of ``least``; rows of (least, n, prefix, root).
+
+    Two such sets share a shingle of their prefixes. Of the smaller set a shorter
+    prefix is enough, and what both have behind the shared one must do for the
+    rest. Keys of one class are left out; the rows of a large key are dealt out
+    and each part meets all of the key.
+    """
+    ratio = Fraction(least) * (1 - Fraction(1, 1 << 40))
+    least, half = float(ratio), float(ratio / (1 + ratio))
+    rows = staged(sets, "prefixes").select("least", "n", "root", F.posexplode("prefix").alias("at", "key"))
+    live = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    live = live.select("key", F.ceil(F.col("rows") / TOGETHER).cast("int").alias("parts"))
+    rows = staged(rows.join(live, "key"), "shared")
+    larger = rows.select("key", F.pmod(F.xxhash64("least"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("least", "n", "root", "at")))
+    # Of 2 * least / (1 + least) of its shingles, those that the smaller set has in common at least, one stands here.
+    smaller = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * half * F.col("n") - 1e-6)).select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("least", "n", "root", "at")))
+    pairs = larger.join(smaller, ["key", "part"]).where(
+        (F.col("root_a") != F.col("root_b"))
+        & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("least_a") > F.col("least_b"))))
+        & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
+        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= half * (F.col("n_a") + F.col("n_b")) - 1e-6))
+    return pairs.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"))
+
+
 def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links reach: those of equal sets of shingles, and of sets with a similarity of ``ALIKE``.
 
-    Candidates are those within RADIUS of each other's fingerprint in the Gray
-    index, and each set with the first one in each of its bands; all are compared
-    exactly before they are linked. Longer bands hold closer copies, so that those
-    unlike the first of a short one meet each other. No band's pairs are made.
+    Most links come from candidates within RADIUS of each other's fingerprint in
+    the Gray index, and each set with the first one in each of its bands. Longer
+    bands hold closer copies, so that those unlike the first of a short one meet
+    each other. No band's pairs are made. These find classes, but not all links:
+    so all sets still in different classes that share a shingle of their prefixes
+    follow (``unlinked``), which leaves out no pair that can be a link. All
+    candidates are compared exactly before they are linked.
     """
     rows = staged(banded(docs, size), "bands")
     first = staged(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("fp", "keys"), "doc_id").alias("of")).select("same", "least", "of.*"), "sets")
@@ -305,12 +385,12 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     near = links(grouped(classes.select("fp"))).join(classes.select(F.col("fp").alias("a"), F.col("b").alias("one")), "a").join(
         classes.select(F.col("fp").alias("b"), F.col("b").alias("other")), "b")
     found = found.union(near.select(F.greatest("one", "other"), F.least("one", "other")))
-    pairs = staged(found.distinct(), "pairs")
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = staged(shingled(docs.join(members, "doc_id", "left_semi"), size), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    roots = components(alike(both)).select(F.col("a").alias("least"), F.col("b").alias("root"))
+    roots = components(compared(docs, size, found))
+    of_set = first.select("same", "least").join(roots.select(F.col("a").alias("least"), F.col("b").alias("root")), "least", "left").select(
+        "same", "least", F.coalesce("root", "least").alias("root"))
+    sets = of_set.join(rows.select("same", F.col("doc_id").alias("least"), "n", "prefix"), ["same", "least"]).select("least", "root", "n", "prefix")
+    more = compared(docs, size, unlinked(sets))
+    roots = components(roots.union(more)).select(F.col("a").alias("least"), F.col("b").alias("root"))
     return rows.join(first.select("same", "least"), "same").join(roots, "least", "left").select(
         "doc_id", F.coalesce("root", "least").alias("component_id"))
 

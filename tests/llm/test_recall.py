@@ -90,6 +90,56 @@ def test_near_copies_are_those_of_brute_force_jaccard(make_docs):
     assert [got[k] for k in range(len(texts))] == label
 
 
+def families(rng, bases, copies, rates):
+    """Texts of few words in families of copies at several distances, with a passage in common."""
+    texts = []
+    for base in range(bases):
+        words = [f"b{base}x{k}" for k in range(int(rng.integers(20, 90)))] + [f"passage{k}" for k in range(12)]
+        for _ in range(copies):
+            own = list(words)
+            for k in np.flatnonzero(rng.random(len(own)) < rng.choice(rates)):
+                own[k] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(own[: len(own) - int(rng.integers(0, 6))]))
+    return texts
+
+
+def jaccard_links(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    return {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_that_no_band_and_no_fingerprint_brings_together_are_linked(make_docs, seed):
+    texts = families(np.random.default_rng(seed), 30, 14, [0.0, 0.02, 0.04])
+    label = list(range(len(texts)))
+    for a, b in sorted(jaccard_links(texts)):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(make_docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == label
+
+
+@pytest.mark.parametrize(("together", "sample"), [(2048, 1 << 14), (3, 1 << 14), (3, 8)])
+def test_prefixes_leave_out_no_link(make_docs, monkeypatch, together, sample):
+    monkeypatch.setattr(S, "TOGETHER", together)
+    monkeypatch.setattr(S, "SAMPLE", sample)
+    texts = families(np.random.default_rng(3), 12, 10, [0.0, 0.02, 0.04]) + [None, "", "one word", "a b c d e", "a b c d e f"]
+    rows = S.banded(make_docs(texts), 5).selectExpr("doc_id AS least", "n", "doc_id AS root", "prefix")
+    got = {(r["a"], r["b"]) for r in S.unlinked(rows).collect()}
+    want = jaccard_links([t or "" for t in texts[:120]])
+    assert len(want) > 100 and want <= got
+    assert S.unlinked(rows.withColumn("root", rows["root"] * 0)).isEmpty()  # of one class
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 10, 25, 99, 100, 1001])
+def test_a_prefix_is_as_long_as_it_must_be(n):
+    least = next(k for k in range(n + 1) if 10 * k >= 8 * n)
+    common = np.array([2, 4], np.uint64), np.array([9, 5])
+    got = S.prefix(np.arange(1, n + 1, dtype=np.uint64), common)
+    assert S.least_shared(n, S.ALIKE) == least and len(got) == n - least + 1
+    assert got.tolist() == [*(k for k in range(1, n + 1) if k not in (2, 4)), *(k for k in (4, 2) if k <= n)][: len(got)]
+
+
 def test_whole_licence_texts_are_known(spark, make_docs):
     names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0-Perl"]
     texts = [(licences.TEXTS / f"{name}.txt").read_text() for name in names]
