@@ -30,12 +30,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.llm.columns import id_and_text, keyed, unpacked
 from tagtide.llm.components import components
-from tagtide.llm.staging import staged
+from tagtide.llm.staging import release, staged
 from tagtide.llm.words import mixed
 
 RADIUS = 3
@@ -331,8 +331,10 @@ def alike(pairs: DataFrame, least: float = ALIKE) -> DataFrame:
 def compared(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
     """The links among pairs (a, b) of doc_ids, their whole sets of shingles compared."""
     pairs = staged(pairs.distinct(), "pairs")
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # Stored, so that Spark knows how few they are before it would shuffle all texts.
+    members = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "members")
     sets = staged(shingled(docs.join(members, "doc_id", "left_semi"), size), "shingles")
+    release(docs.sparkSession)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return alike(both)
@@ -341,26 +343,30 @@ def compared(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
 def unlinked(sets: DataFrame, least: float = ALIKE) -> DataFrame:
     """(a, b) of all sets in different classes that can have a similarity of ``least``; rows of (least, n, prefix, root).
 
-    Two such sets share a shingle of their prefixes. Of the smaller set a shorter
-    prefix is enough, and what both have behind the shared one must do for the
-    rest. Keys of one class are left out; the rows of a large key are dealt out
-    and each part meets all of the key.
+    What two such sets have in common stands in both prefixes, but for what stands
+    behind one of them. So their prefixes share as much as that leaves. Keys of
+    one class are left out; the rows of a large key are dealt out and each part
+    meets all of the key.
     """
     ratio = Fraction(least) * (1 - Fraction(1, 1 << 40))
     least, half = float(ratio), float(ratio / (1 + ratio))
-    rows = staged(sets, "prefixes").select("least", "n", "root", F.posexplode("prefix").alias("at", "key"))
-    live = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    live = live.select("key", F.ceil(F.col("rows") / TOGETHER).cast("int").alias("parts"))
-    rows = staged(rows.join(live, "key"), "shared")
+    of_key = Window.partitionBy("key")
+    rows = sets.select("least", "n", "root", F.posexplode("prefix").alias("at", "key")).select(
+        "*", F.ceil(F.count("*").over(of_key) / TOGETHER).cast("int").alias("parts"), (F.min("root").over(of_key) != F.max("root").over(of_key)).alias("live"))
+    rows = staged(rows.where("live").drop("live"), "shared")
+    release(sets.sparkSession)
     larger = rows.select("key", F.pmod(F.xxhash64("least"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("least", "n", "root", "at")))
-    # Of 2 * least / (1 + least) of its shingles, those that the smaller set has in common at least, one stands here.
-    smaller = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * half * F.col("n") - 1e-6)).select(
+    smaller = rows.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("least", "n", "root", "at")))
+    enough = half * (F.col("n_a") + F.col("n_b")) - 1e-6
     pairs = larger.join(smaller, ["key", "part"]).where(
         (F.col("root_a") != F.col("root_b"))
         & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("least_a") > F.col("least_b"))))
         & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
-        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= half * (F.col("n_a") + F.col("n_b")) - 1e-6))
+        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= enough))
+    # Behind the larger one's prefix stand more of its shingles than behind the smaller one's.
+    pairs = pairs.groupBy("least_a", "least_b", "n_a", "n_b").agg(F.count("*").alias("both")).where(
+        F.col("both") + F.ceil(least * F.col("n_a")) - 1 >= enough)
     return pairs.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"))
 
 
@@ -389,6 +395,7 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     of_set = first.select("same", "least").join(roots.select(F.col("a").alias("least"), F.col("b").alias("root")), "least", "left").select(
         "same", "least", F.coalesce("root", "least").alias("root"))
     sets = of_set.join(rows.select("same", F.col("doc_id").alias("least"), "n", "prefix"), ["same", "least"]).select("least", "root", "n", "prefix")
+    release(docs.sparkSession)
     more = compared(docs, size, unlinked(sets))
     roots = components(roots.union(more)).select(F.col("a").alias("least"), F.col("b").alias("root"))
     return rows.join(first.select("same", "least"), "same").join(roots, "least", "left").select(
