@@ -12,7 +12,7 @@ words in items weigh less than the lightest quarter of the lightest item's are
 passed over, as they can hold no leak.
 
 A candidate's surroundings are aligned with the whole item by their longest
-common subsequence. ``COPY`` of the item's words make a leak; ``REWORDED`` of
+common subsequence, unless they hold too few of its words in any order. ``COPY`` of the item's words make a leak; ``REWORDED`` of
 them do if the item's answer (its own column, or its last ``ANSWER`` words) stands
 there as well.
 
@@ -26,6 +26,8 @@ repeated items and rows are matched each; no documents or no items give no leaks
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -216,7 +218,9 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
         places[key] = places.get(key, 0) | 1 << k
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
     for key in b.tolist():
-        hit = row & places.get(key, 0)
+        if key not in places:  # changes nothing
+            continue
+        hit = row & places[key]
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
@@ -233,11 +237,19 @@ def aligned(keys: np.ndarray, item: np.ndarray, answer: np.ndarray) -> tuple[int
     return common, common >= COPY * len(item) or (common >= REWORDED * len(item) and _contains(keys, answer))
 
 
+def may_align(keys: list[int], bag: dict[int, int], size: int) -> bool:
+    """Whether an item of ``size`` words, counted in ``bag``, can have enough words in common with others, in whatever order they stand."""
+    enough = min(COPY, REWORDED) * size
+    inside = [key for key in keys if key in bag]
+    return len(inside) >= enough and sum(min(n, bag[key]) for key, n in Counter(inside).items()) >= enough
+
+
 class Search:
     """Looks for a block of items in Arrow columns of texts."""
 
     def __init__(self, items: Items, directions: np.ndarray):
         self.items, self.directions = items, directions
+        self.bags: dict[int, dict[int, int]] = {}  # words of the items met so far; a block's words at most
         latent = _projected(directions, *items.cells, len(items.owner))
         self.targets = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
@@ -288,14 +300,19 @@ class Search:
         found: dict[tuple, tuple] = {}
         tried: set[tuple] = set()
         for row0, _, words in slices(column, change=plain):
+            keys = words.keys.tolist()
             for text, item, first, size, cosine in self.candidates(words):
                 if (row0 + text, item) in found or (row0 + text, item, first) in tried:
                     continue
                 tried.add((row0 + text, item, first))
                 own = self.items.words[item]
                 low, high = words.bounds[text], words.bounds[text + 1]
-                around = words.keys[max(low, first - len(own)) : min(high, first + size + len(own))]
-                common, leak = aligned(around, own, self.items.answers[item])
+                low, high = max(low, first - len(own)), min(high, first + size + len(own))
+                if item not in self.bags:
+                    self.bags[item] = Counter(own.tolist())
+                if not may_align(keys[low:high], self.bags[item], len(own)):
+                    continue
+                common, leak = aligned(words.keys[low:high], own, self.items.answers[item])
                 if leak:
                     found[row0 + text, item] = (common, cosine)
         return [(row, item, *value) for (row, item), value in found.items()]

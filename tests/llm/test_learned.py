@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,28 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(a, b) == table[-1, -1]
 
 
+def test_only_candidates_with_enough_words_of_the_item_are_aligned(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 200, n)]
+    own = [words(20) for _ in range(5)]
+    items = decontaminate.Items([(k, " ".join(w).encode(), None) for k, w in enumerate(own)], np.zeros(decontaminate.HASHED, np.int64))
+    texts = [" ".join(words(70)) for _ in range(80)]
+    texts += [" ".join([*words(20), *(w if k % 3 or k > 16 else "other" for k, w in enumerate(item)), *words(20)]) for item in own]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    search = decontaminate.Search(items, np.eye(decontaminate.FEATURES, 300, dtype=np.float32))
+    monkeypatch.setattr(decontaminate, "COSINE", 0.1)
+    calls, real, may = [], decontaminate.aligned, decontaminate.may_align
+    monkeypatch.setattr(decontaminate, "aligned", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(decontaminate, "may_align", lambda *a: True)
+    want, every = search.matches(column), len(calls)
+    calls.clear()
+    monkeypatch.setattr(decontaminate, "may_align", may)
+    assert search.matches(column) == want and {r[:2] for r in want} >= {(80 + k, k) for k in range(5)}
+    assert 5 <= len(calls) < every / 4
+    for keys, item, _ in calls:  # as many words in common, in any order
+        assert sum(min((keys == k).sum(), (item == k).sum()) for k in np.unique(item)) >= 0.5 * len(item)
+
+
 def test_leaks(spark, make_docs, odd_texts):
     filler = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
     item = "What is the tallest mountain of the northern range, measured from its base to the summit? The answer is grey peak."
