@@ -42,6 +42,7 @@ COPY, REWORDED, ANSWER = 0.8, 0.5, 3
 ITEMS, WORDS = 5_000, 250_000
 FEATURES, DIMENSIONS = 8192, 192
 HASHED = 1 << 20  # counters of words of the corpus
+CACHED = 512  # words projected at once
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
@@ -153,7 +154,13 @@ def _projected(directions: np.ndarray, owner: np.ndarray, feature: np.ndarray, w
     out = np.zeros((n, directions.shape[1]), np.float32)
     if len(owner):
         which, starts = np.unique(owner, return_index=True)
-        out[which] = np.add.reduceat(directions[feature] * weight[:, None], starts, axis=0)
+        ends = np.append(starts[1:], len(owner))
+        a = 0
+        while a < len(which):  # about CACHED words at a time: their rows stay in the processor's cache
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + CACHED, "right")))
+            part = slice(starts[a], ends[b - 1])
+            out[which[a:b]] = np.add.reduceat(directions[feature[part]] * weight[part, None], starts[a:b] - starts[a], axis=0)
+            a = b
     return out
 
 
