@@ -30,7 +30,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.llm.columns import id_and_text, keyed, unpacked
@@ -47,8 +47,10 @@ FULL = (1 << 64) - 1
 ALIKE = 0.8
 #: Least hashes in a band of each kind, all kinds over the same 64.
 BANDS = (4, 8, 16)
-#: Texts in the sample whose shingles are counted, and how many of the commonest stand last in every prefix.
-SAMPLE, COMMON = 1 << 14, 1 << 17
+#: One of every so many texts has its shingles counted (of few texts more, so that they are ``SAMPLE`` at least).
+COUNTED, SAMPLE = 2, 1 << 14
+#: Shingles of known frequency, which stand last in every prefix, at most.
+COMMON = 1 << 19
 #: Rows of one key that a task compares with all others of the key.
 TOGETHER = 2048
 _TURNS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -253,8 +255,14 @@ def hash_of(values: np.ndarray, seed: int) -> int:
 
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a sample of the texts, sorted, and in how many of it each is."""
-    every = max(1, docs.count() // SAMPLE)
+    """The commonest shingles of a sample of the texts, sorted, and in how many of it each is.
+
+    The sample is a share of the texts, whatever their number: a smaller share
+    would no longer tell a shingle of some dozen texts from one of a single text,
+    and every two of those texts would be compared.
+    """
+    every = max(1, min(COUNTED, docs.count() // SAMPLE))
+    release(docs.sparkSession)
 
     def spread(batches):
         for batch in batches:
@@ -262,8 +270,15 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
 
     texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
-    rows = texts.mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = rows.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()  # 2 MB at most
+    rows = staged(texts.mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    release(docs.sparkSession)
+    least, held = 2, 0
+    for n, count in rows.groupBy("n").count().orderBy(F.desc("n")).limit(COMMON).toLocalIterator():  # a row for each frequency
+        held += count
+        if held > COMMON:
+            least = n + 1
+            break
+    found = rows.where(F.col("n") >= least).toArrow()  # 8 MB at most
     shingles, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -340,33 +355,56 @@ def compared(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
     return alike(both)
 
 
-def unlinked(sets: DataFrame, least: float = ALIKE) -> DataFrame:
-    """(a, b) of all sets in different classes that can have a similarity of ``least``; rows of (least, n, prefix, root).
+def least_alike(least: float) -> tuple[float, float]:
+    """What sets of a similarity of ``least`` have in common at least: as a share of either, and of the sum of both."""
+    ratio = Fraction(least) * (1 - Fraction(1, 1 << 40))
+    return float(ratio), float(ratio / (1 + ratio))
+
+
+def own_share(n: Column, half: float) -> Column:
+    """Shingles that a set of n shares at least with one that is as large or larger."""
+    return F.ceil(2 * half * n - 1e-6)
+
 
-    What two such sets have in common stands in both prefixes, but for what stands
-    behind one of them. So their prefixes share as much as that leaves. Keys of
-    one class are left out; the rows of a large key are dealt out and each part
-    meets all of the key.
+def meetings(sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """Places where two sets in different classes share a shingle of their prefixes: (least, n, at) of the larger set, _a, and of the smaller one, _b.
+
+    The smaller set shares more of its own than the larger one, so the start of its
+    prefix is enough: sets with more shingles than that of their own, though alike
+    in all others, don't meet. Keys of one class are left out; the rows of a large
+    key are dealt out and each part meets all of the key.
     """
-    ratio = Fraction(least) * (1 - Fraction(1, 1 << 40))
-    least, half = float(ratio), float(ratio / (1 + ratio))
+    least, half = least_alike(least)
     of_key = Window.partitionBy("key")
     rows = sets.select("least", "n", "root", F.posexplode("prefix").alias("at", "key")).select(
         "*", F.ceil(F.count("*").over(of_key) / TOGETHER).cast("int").alias("parts"), (F.min("root").over(of_key) != F.max("root").over(of_key)).alias("live"))
     rows = staged(rows.where("live").drop("live"), "shared")
     release(sets.sparkSession)
     larger = rows.select("key", F.pmod(F.xxhash64("least"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("least", "n", "root", "at")))
-    smaller = rows.select(
+    smaller = rows.where(F.col("at") <= F.col("n") - own_share(F.col("n"), half)).select(
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("least", "n", "root", "at")))
     enough = half * (F.col("n_a") + F.col("n_b")) - 1e-6
-    pairs = larger.join(smaller, ["key", "part"]).where(
+    return larger.join(smaller, ["key", "part"]).where(
         (F.col("root_a") != F.col("root_b"))
         & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("least_a") > F.col("least_b"))))
         & (F.col("n_b") >= least * F.col("n_a") - 1e-6)
         & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= enough))
-    # Behind the larger one's prefix stand more of its shingles than behind the smaller one's.
-    pairs = pairs.groupBy("least_a", "least_b", "n_a", "n_b").agg(F.count("*").alias("both")).where(
-        F.col("both") + F.ceil(least * F.col("n_a")) - 1 >= enough)
+
+
+def unlinked(sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """(a, b) of all sets in different classes that can have a similarity of ``least``; rows of (least, n, prefix, root).
+
+    What two such sets have in common stands from the first place on where they
+    meet. It stands in both prefixes, but for what stands behind one of them. So
+    they meet as often as that leaves.
+    """
+    pairs = meetings(sets, least).groupBy("least_a", "least_b", "n_a", "n_b").agg(
+        F.count("*").alias("both"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    least, half = least_alike(least)
+    enough = half * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = pairs.where(
+        (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= enough)
+        & (F.col("both") + F.greatest(F.ceil(least * F.col("n_a")), own_share(F.col("n_b"), half)) - 1 >= enough))
     return pairs.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"))
 
 

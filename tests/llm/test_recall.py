@@ -131,6 +131,29 @@ def test_prefixes_leave_out_no_link(make_docs, monkeypatch, together, sample):
     assert S.unlinked(rows.withColumn("root", rows["root"] * 0)).isEmpty()  # of one class
 
 
+def test_copies_with_too_many_edits_do_not_meet(make_docs):
+    """Copies of one text, each with 15 % of its shingles its own: a similarity of 0.74, and a prefix that reaches what they share."""
+    copies = [" ".join(f"new{copy}x{k}" if k % 33 == 16 else f"b{k}" for k in range(300)) for copy in range(40)]
+    texts = copies + families(np.random.default_rng(3), 4, 8, [0.0, 0.02, 0.04])
+    rows = S.banded(make_docs(texts), 5).selectExpr("doc_id AS least", "n", "doc_id AS root", "prefix")
+    found = [set(r["prefix"]) for r in rows.where("least < 2").collect()]
+    assert found[0] & found[1]
+    met = {(r["least_a"], r["least_b"]) for r in S.meetings(rows).collect()}
+    assert met and not [(a, b) for a, b in met if a < 40]  # 780 pairs
+    assert jaccard_links(texts) <= {(r["a"], r["b"]) for r in S.unlinked(rows).collect()}
+
+
+def test_shingles_of_some_texts_are_common_in_any_number_of_texts(make_docs, monkeypatch):
+    """A passage in 60 of 960 texts: with a sample of 16 texts hardly one holds it, with a share of all many do."""
+    monkeypatch.setattr(S, "SAMPLE", 16)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join([*(f"t{k}x{j}" for j in range(20)), *([passage] if k < 60 else [])]) for k in range(960)]
+    known, n = S.common_shingles(make_docs(texts), 5)
+    assert set(S.shingle_set(passage.encode().split(), 5).tolist()) <= set(known.tolist()) and n.min() > 1
+    monkeypatch.setattr(S, "COMMON", 26 + 8)
+    assert len(S.common_shingles(make_docs(texts + ["a b c d e f g h i j k l m n"] * 9), 5)[0]) <= 34
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 10, 25, 99, 100, 1001])
 def test_a_prefix_is_as_long_as_it_must_be(n):
     least = next(k for k in range(n + 1) if 10 * k >= 8 * n)
