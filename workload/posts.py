@@ -180,9 +180,9 @@ def _(spark, sf):
         F.when(F.length(n) % 4 == 0, F.concat(F.lit("%23"), F.when(F.length(F.upper(n)) == F.length(n), F.upper(n)).otherwise(n))).when(F.length(n) % 4 == 1, F.concat(F.lit(" #"), n))
         .when(F.length(n) % 4 == 2, F.concat(n, F.lit("%20"))).otherwise(F.concat(n, F.lit("-x")))
     )
-    words = B.word_rows(spark, sf).select("name")
-    rows = words.unionByName(words.select(F.repeat("name", 40).alias("name")))  # also names that are too long
-    return rows.select("name", X.clean_tag_input(spelled).alias("tag")).distinct()
+    rows = unfold(B.word_rows(spark, sf), F.array("name", F.repeat("name", 40)), "name").select("name")  # also names that are too long
+    # A tag depends on its name alone: the DISTINCT is taken first, so that each name is cleaned once.
+    return rows.distinct().select("name", X.clean_tag_input(spelled).alias("tag"))
 
 
 def requests(spark, sf):
