@@ -47,9 +47,9 @@ FULL = (1 << 64) - 1
 ALIKE = 0.8
 #: Least hashes in a band of each kind, all kinds over the same 64.
 BANDS = (4, 8, 16)
-#: One of every so many texts has its shingles counted (of few texts more, so that they are ``SAMPLE`` at least).
-COUNTED, SAMPLE = 2, 1 << 14
-#: Shingles of known frequency, which stand last in every prefix, at most.
+#: Without effect since the shingles of all texts are counted; tests still set it.
+SAMPLE = 1 << 14
+#: Shingles of known frequency, which stand last in every prefix, at most; as many as are broadcast.
 COMMON = 1 << 19
 #: Rows of one key that a task compares with all others of the key.
 TOGETHER = 2048
@@ -179,6 +179,7 @@ class GrayIndex:
     def roots(self, radius: int = RADIUS, together: int = 1024) -> np.ndarray:
         """Position of the first member that each member reaches by links."""
         parent = np.arange(len(self.prints))
+        together = max(1, min(together, (1 << 20) // int(self.levels[0][3].max(initial=1))))  # 2^20 pairs at once at most
 
         def find(x):
             while True:
@@ -255,13 +256,7 @@ def hash_of(values: np.ndarray, seed: int) -> int:
 
 
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of a sample of the texts, sorted, and in how many of it each is.
-
-    The sample is a share of the texts, whatever their number: a smaller share
-    would no longer tell a shingle of some dozen texts from one of a single text,
-    and every two of those texts would be compared.
-    """
-    every = max(1, min(COUNTED, docs.count() // SAMPLE))
+    """The commonest shingles, sorted, and in how many texts each is; all texts are counted."""
     release(docs.sparkSession)
 
     def spread(batches):
@@ -269,9 +264,8 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             sets = [shingle_set((text.as_py() or b"").lower().split(), size) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["shingle"])
 
-    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
     rows = staged(texts.mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    release(docs.sparkSession)
     least, held = 2, 0
     for n, count in rows.groupBy("n").count().orderBy(F.desc("n")).limit(COMMON).toLocalIterator():  # a row for each frequency
         held += count
@@ -279,6 +273,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             least = n + 1
             break
     found = rows.where(F.col("n") >= least).toArrow()  # 8 MB at most
+    release(docs.sparkSession)  # by now: right after the count its shuffle files stay, some 2.5 times the input
     shingles, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -306,12 +301,18 @@ def banded(docs: DataFrame, size: int) -> DataFrame:
 
     def compute(batches):
         for batch in batches:
-            words = [(text.as_py() or b"").lower().split() for text in batch.column(1)]
-            sets = [shingle_set(w, size) for w in words]
-            prints = np.array([fingerprint(w, size) for w in words], np.uint64).view(np.int64)
+            prints, same, sizes, keys, prefixes = np.zeros(len(batch), np.uint64), [], [], [], []
+            for k, text in enumerate(batch.column(1)):  # the words of one text at a time
+                words = (text.as_py() or b"").lower().split()
+                own = shingle_set(words, size)
+                prints[k] = fingerprint(words, size)
+                same.append(sha256(own.tobytes()).digest())
+                sizes.append(len(own))
+                keys.append(bands(own))
+                prefixes.append(prefix(own, shared.value).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints), pa.array([sha256(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([prefix(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(prints.view(np.int64)), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "fp", "same", "n", "keys", "prefix"])
 
     return id_and_text(docs).mapInArrow(compute, "doc_id long, fp long, same binary, n int, keys array<long>, prefix array<long>")

@@ -169,3 +169,11 @@ def test_whole_licence_texts_are_known(spark, make_docs):
     docs = make_docs([*texts, *(t.upper() for t in texts), texts[0] + " more"])
     got = {r["_doc"]["doc_id"]: r["licence"] for r in licences.scanned(docs, licences.known_licences(spark)).collect()}
     assert [got[k] for k in range(len(got))] == [*names, *names, None]
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    n = 1 << 15  # from here on only every other text was counted
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a b c d e', id % 4096, ' f', id) AS text")
+    known, counts = S.common_shingles(docs, 5)
+    want = sorted(int(S.shingle_set(f"a b c d e{k}".encode().split(), 5)[0]) for k in range(4096))
+    assert known.tolist() == want and set(counts.tolist()) == {n // 4096}
